@@ -53,7 +53,8 @@ def values(texts: list[str], bins: int = BINS, bits: int = BITS, words: int = WO
     for i in np.flatnonzero(some & ~full.all(axis=1)):
         have, lack = np.flatnonzero(full[i]), np.flatnonzero(~full[i])
         least[i, lack] = least[i, have[np.argmin(orders[np.ix_(lack, have)], axis=1)]]
-    return (tokens.mix(least) & np.uint64((1 << bits) - 1)).astype(np.uint8), some
+    salt = tokens.mix(np.arange(1, bins + 1, dtype=np.uint64))  # bins that share a value still agree by chance one by one
+    return (tokens.mix(least ^ salt) & np.uint64((1 << bits) - 1)).astype(np.uint8), some
 
 
 def pack(v: np.ndarray, bits: int = BITS) -> str:

@@ -7,13 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, fingerprints, mixing, tokencount
+from tidemark.llm import chat, decontam, fingerprints, mixing, secrets, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(_table(spark, sf_dir, "documents"), secrets.Forest(secrets.labelled_findings(spark)))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_neighbours(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +63,10 @@ FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 """
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -62,9 +74,12 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op3_secrets": op3_secrets,
     "op5_fingerprints": op5_fingerprints,
     "op6_chat": op6_chat,
     "op7_mixing": op7_mixing,
+    "op9_decontamination": op9_decontamination,
     "op10_tokens": op10_tokens,
 }
 ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}

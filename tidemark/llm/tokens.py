@@ -73,37 +73,51 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         at = to
 
 
+class Scan:
+    """The words of all texts of a column: bytes [first, last) of ``data``, and each text's words as ``bounds``."""
+
+    def __init__(self, column: pa.Array, space: np.ndarray = _SPACE, latin: bool = False) -> None:
+        raw, offsets = text_buffers(column)
+        data = _LOWER[raw[int(offsets[0]) : int(offsets[-1])]]
+        self.offsets = offsets = offsets - int(offsets[0])
+        self.bounds = np.zeros(len(offsets), dtype=np.int64)
+        self.first = self.last = np.zeros(0, dtype=np.int64)
+        self.sums = self.down = np.zeros(1, dtype=U)
+        if not len(data):
+            return
+        if latin:  # capitals of U+00C0-U+00DE
+            data[1:] += (32 * ((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97))).astype(np.uint8)
+        inside = ~space[data]
+        begins, ends = inside.copy(), inside.copy()
+        begins[1:] &= ~inside[:-1]
+        ends[:-1] &= ~inside[1:]
+        edges = offsets[1:-1]  # a word ends with its text even if the next text goes on without white space
+        edges = edges[(edges > 0) & (edges < len(data))]
+        begins[edges] |= inside[edges]
+        ends[edges - 1] |= inside[edges - 1]
+        self.first, self.last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+        up, self.down = _POWERS.upto(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, dtype=U)
+        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=self.sums[1:])
+        self.bounds = np.searchsorted(self.first, offsets)
+
+    def hashes(self, length: int | None = None) -> np.ndarray:
+        """Of the words, or of their first ``length`` bytes where they are longer (else of all of them)."""
+        last = self.last if length is None else np.minimum(self.last, self.first + length)
+        return mix((self.sums[last] - self.sums[self.first]) * self.down[self.first] + (last - self.first).astype(U))
+
+
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and the n + 1 offsets of each text's words among them."""
-    hashes, bounds, _, _ = word_spans(column)
-    return hashes, bounds
+    scan = Scan(column)
+    return scan.hashes(), scan.bounds
 
 
 def word_spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """As word_hashes, with each word's first and past-last byte, counted from its text's first byte."""
-    raw, offsets = text_buffers(column)
-    low, high = int(offsets[0]), int(offsets[-1])
-    data = _LOWER[raw[low:high]]
-    offsets = offsets - low
-    if not len(data):
-        none = np.zeros(0, dtype=np.int64)
-        return np.zeros(0, dtype=U), np.zeros(len(offsets), dtype=np.int64), none, none
-    inside = ~_SPACE[data]
-    begins, ends = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends[:-1] &= ~inside[1:]
-    edges = offsets[1:-1]  # a word ends with its text even if the next text goes on without white space
-    edges = edges[(edges > 0) & (edges < len(data))]
-    begins[edges] |= inside[edges]
-    ends[edges - 1] |= inside[edges - 1]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    up, down = _POWERS.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(U))
-    bounds = np.searchsorted(first, offsets)
-    base = np.repeat(offsets[:-1], np.diff(bounds))
-    return hashes, bounds, first - base, last - base
+    scan = Scan(column)
+    base = np.repeat(scan.offsets[:-1], np.diff(scan.bounds))
+    return scan.hashes(), scan.bounds, scan.first - base, scan.last - base
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
