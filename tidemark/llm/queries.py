@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, fingerprints, mixing, secrets, tokencount, toxicity
+from tidemark.llm import chat, decontam, fingerprints, jaccard, mixing, secrets, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 """
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(_table(spark, sf_dir, "documents"), 4, jaccard.Threshold(85, 100))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_fingerprints": op5_fingerprints,
     "op6_chat": op6_chat,
     "op7_mixing": op7_mixing,
+    "op8_jaccard": op8_jaccard,
     "op9_decontamination": op9_decontamination,
     "op10_tokens": op10_tokens,
 }
