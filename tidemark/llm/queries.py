@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, fingerprints, jaccard, mixing, secrets, tokencount, toxicity
+from tidemark.llm import chat, decontam, fingerprints, jaccard, mixing, passages, secrets, tokencount, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(_table(spark, sf_dir, "documents"), secrets.Forest(secrets.labelled_findings(spark)))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_neighbours(_table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_secrets": op3_secrets,
+    "op4_passages": op4_passages,
     "op5_fingerprints": op5_fingerprints,
     "op6_chat": op6_chat,
     "op7_mixing": op7_mixing,
