@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, fingerprints, jaccard, mixing, passages, secrets, tokencount, toxicity
+from tidemark.llm import chat, decontam, fingerprints, jaccard, mixing, passages, secrets, tokencount, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,21 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
+m AS (SELECT payload_digest, max(page_id) AS last FROM d WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT d.page_id, payload_bytes, d.payload_digest,
+       CASE WHEN last IS NULL OR last = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last <> d.page_id THEN last END AS refers_to
+FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest
+"""
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.findings(_table(spark, sf_dir, "documents"), secrets.Forest(secrets.labelled_findings(spark)))
 
@@ -83,6 +98,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_warc": op2_warc,
     "op3_secrets": op3_secrets,
     "op4_passages": op4_passages,
     "op5_fingerprints": op5_fingerprints,
@@ -92,4 +108,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_tokens": op10_tokens,
 }
-ORACLES: dict[str, str] = {"op7_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op7_mixing": OP7_SQL}
