@@ -97,7 +97,9 @@ class Matcher:
         return Matcher("!~", name, pattern)
 
     def column(self, labels: Column) -> Column:
-        """The predicate over a label map."""
+        """The predicate over a label map, never null. Equality with a value is in a form that scans can push down."""
+        if self.kind == "=" and self.value:
+            return labels[self.name].eqNullSafe(self.value)
         return self.on(label(labels, self.name))
 
     def on(self, value: Column) -> Column:
