@@ -11,12 +11,13 @@ intersection: it counts as a position, but is never joined.
               back to its owners
   sets        per owner its shared shingles in order, and how many of them fall into the prefix
   stars       in each prefix shingle's group, every set is paired with the group's most shared set only
-  rest        pairs of one group whose sets are in different components so far
-  components  over the verified pairs
+  chains      twice, each group in an order of its own: every set is paired with the one before it
+  rest        all pairs of one group whose sets are in different components so far
+  components  over the verified pairs, after each of these steps
 
-Stars make large groups of near copies one component at a cost that is linear in the group. The pairs left out are
-those inside one component, which can't change the result; every other pair that can reach the threshold is counted,
-filtered (length, position, suffix) and verified once on the whole sets.
+Stars and chains make large groups of near copies one component at a cost that is linear in the group. The pairs left
+out are those inside one component, which can't change the result; every other pair that can reach the threshold is
+filtered (length, position, suffix) as it is made, and verified once on the whole sets.
 
 Defined cases: null texts, and texts without words, have an empty set and are linked with nothing; texts of fewer than
 ``n`` words have their whole sequence as one shingle; a null doc_id takes part, and is no component's least id unless
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
@@ -40,7 +41,8 @@ from tidemark.llm.runtime import cut, shuffle_width
 U = np.uint64
 #: A shingle is very common if it is in more than this part of all documents; a chunk reports at half of that.
 COMMON = 0.01
-CELLS = 16
+#: Longs of a set's signature; parts into which a group's chain is split, so that no group is one task's.
+LONGS, PARTS = 8, 16
 
 
 @dataclass(frozen=True)
@@ -166,12 +168,12 @@ def _count(buckets: int):
     return run
 
 
-_SETS = "owner long, n int, prefix int, shared array<long>, cells array<int>"
+_SETS = "owner long, n int, prefix int, shared array<long>, bits array<long>"
 
 
 def _assemble(limit: Threshold):
     def run(table: pa.Table) -> pa.Table:
-        schema = pa.schema([("owner", pa.int64()), ("n", pa.int32()), ("prefix", pa.int32()), ("shared", pa.list_(pa.int64())), ("cells", pa.list_(pa.int32()))])
+        schema = pa.schema([("owner", pa.int64()), ("n", pa.int32()), ("prefix", pa.int32()), ("shared", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
         owner, size, shingle, rank = _unpacked(table)
         order = np.lexsort((shingle, rank, owner))
         owner, size, shingle = owner[order], size[order], shingle[order]
@@ -184,7 +186,9 @@ def _assemble(limit: Threshold):
         rows = []
         for i in np.flatnonzero(prefix > 0):
             own = shingle[first[i] : first[i] + shared[i]]
-            rows.append({"owner": int(owner[first[i]].view(np.int64)), "n": int(n[i]), "prefix": int(prefix[i]), "shared": own.view(np.int64), "cells": np.bincount((own % U(CELLS)).astype(np.int64), minlength=CELLS)})
+            bits = np.zeros(64 * LONGS, dtype=np.uint8)
+            bits[(own >> U(20) & U(64 * LONGS - 1)).astype(np.int64)] = 1
+            rows.append({"owner": int(owner[first[i]].view(np.int64)), "n": int(n[i]), "prefix": int(prefix[i]), "shared": own.view(np.int64), "bits": np.packbits(bits).view(np.int64)})
         return pa.Table.from_pylist(rows, schema=schema)
 
     return run
@@ -198,26 +202,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     return both.where(limit.reached(F.size(F.array_intersect("sa", "sb")), F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def _candidates(pairs: DataFrame, limit: Threshold) -> DataFrame:
-    """Matches (a, b, pa, pb, na, nb, ca, cb) of prefix shingles to pairs that may reach the threshold, each once.
+def _may_link(limit: Threshold) -> Column:
+    """Whether a match (ia, ib: its places among the shared shingles of a and b) may be of a pair that links.
 
-    Past the last match of a pair, at most the rest of the shorter remainder can be common; over cells of hashes, at
-    most the lesser of the counts in each cell.
+    Before the match at most the lesser place can be common, after it at most the lesser rest. A shingle of one set whose
+    bit the other's signature lacks is not in the other: over the whole set, that bounds what prefix and suffix share.
     """
-    grouped = pairs.groupBy("a", "b").agg(
-        F.count("*").alias("met"), F.max("pa").alias("pa"), F.max("pb").alias("pb"),
-        *[F.first(c).alias(c) for c in ("na", "nb", "ca", "cb")],
-    )
     need = limit.overlap(F.col("na"), F.col("nb"))
-    position = F.col("met") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1 >= need
-    suffix = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) >= need
-    return grouped.where(position & suffix).select("a", "b")
+    position = F.least("ia", "ib") + 1 + F.least(F.col("oa") - F.col("ia"), F.col("ob") - F.col("ib")) - 1 >= need
+    lacks = lambda x, y: sum((F.bit_count(F.col(x)[i].bitwiseAND(F.bitwise_not(F.col(y)[i]))) for i in range(LONGS)), F.lit(0))
+    suffix = (F.col("oa") - lacks("sa", "sb") >= need) & (F.col("ob") - lacks("sb", "sa") >= need)
+    return limit.lengths(F.col("na"), F.col("nb")) & (F.least("oa", "ob") >= need) & position & suffix
+
+
+def _side(marked: DataFrame, x: str) -> DataFrame:
+    names = {"owner": x, "component": f"g{x}", "i": f"i{x}", "n": f"n{x}", "o": f"o{x}", "bits": f"s{x}"}
+    return marked.select("token", *[F.col(k).alias(v) for k, v in names.items()])
+
+
+def _spread(marked: DataFrame, links: DataFrame) -> DataFrame:
+    """The matches of groups that lie in several components of the links, with each set's component."""
+    member = components(links)
+    marked = marked.drop("component").join(member, marked["owner"] == member["node"], "left").withColumn("component", F.coalesce("component", "owner")).drop("node")
+    several = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+    return cut(marked.join(several, "token", "left_semi"), "marked")
 
 
 def linked(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, owner), and verified pairs of sets (a, b) that connect all that are connected."""
     spark = docs.sparkSession
-    buckets = 3 * shuffle_width(spark)
+    buckets = shuffle_width(spark)
     text = docs["text"].alias("text")
     scanned = cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text).mapInArrow(_scan(n), "doc_id long, n long, owner long, often binary"), "scan")
     often = scanned.where("often is not null").select("often").mapInArrow(_reported, "shingle long, sets long")
@@ -228,8 +242,7 @@ def linked(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -
     dealt = docs.select(text).mapInArrow(_deal(n, buckets, ids, counts), _POSTINGS)
     counted = dealt.groupBy("bucket").applyInArrow(_count(buckets), _POSTINGS)
     sets = cut(counted.groupBy("bucket").applyInArrow(_assemble(limit), _SETS), "sets")
-    marked = sets.select("owner", "n", F.size("shared").alias("o"), "cells", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("i", "token"))
-    marked = marked.withColumn("pos", F.col("n") - F.col("o") + F.col("i")).drop("i")
+    marked = sets.select("owner", "n", F.size("shared").alias("o"), "bits", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("i", "token"))
 
     # in each group, with the set that shares most of itself
     lead = F.min(F.struct((1 - F.col("o") / F.col("n")).alias("own"), F.col("owner").alias("b"), F.col("n").alias("nb")))
@@ -238,21 +251,23 @@ def linked(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -
     stars = stars.where((F.col("a") != F.col("b")) & limit.lengths(F.col("na"), F.col("nb"))).groupBy("a", "b").agg(F.count("*").alias("met"))
     best = stars.groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b"))  # two groups may pair a and b both ways
     best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = cut(_verified(best, sets, limit), "stars")
+    links = cut(_verified(best, sets, limit), "links")
+
+    for turn in range(2):
+        marked = _spread(marked, links)
+        own = Window.partitionBy("token", F.pmod(F.xxhash64("owner"), F.lit(PARTS))).orderBy(F.xxhash64("token", "owner", F.lit(turn)))
+        before = F.lag(F.struct(*[F.col(c) for c in ("owner", "component", "i", "n", "o", "bits")])).over(own)
+        chained = marked.withColumn("before", before).where(F.col("before.component") != F.col("component"))
+        names = {"owner": "", "component": "g", "i": "i", "n": "n", "o": "o", "bits": "s"}
+        pairs = chained.select(*[F.col(k).alias(v + "a") for k, v in names.items()], *[F.col(f"before.{k}").alias(v + "b") for k, v in names.items()])
+        pairs = pairs.where(_may_link(limit)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = cut(links.union(_verified(pairs, sets, limit)), "links")
 
     # whatever is in different components still
-    member = components(first)
-    marked = marked.join(member, marked["owner"] == member["node"], "left").withColumn("component", F.coalesce("component", "owner")).drop("node")
-    spread = marked.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    marked = cut(marked.join(spread, "token", "left_semi"), "marked")
-    side = lambda s, x: marked.select("token", F.col("owner").alias(s), F.col("component").alias(f"g{s}"), F.col("pos").alias(f"p{s}"), F.col("n").alias(f"n{s}"), F.col("o").alias(f"o{s}"), F.col("cells").alias(f"c{s}"))
-    a, b = side("a", 0), side("b", 1)
-    need = limit.overlap(F.col("na"), F.col("nb"))
-    met = a.join(b, "token").where(
-        (F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & limit.lengths(F.col("na"), F.col("nb")) & (F.least("oa", "ob") >= need)
-    )
-    second = _verified(cut(_candidates(met, limit), "candidates"), sets, limit)
-    return scanned.select("doc_id", "n", "owner"), cut(first.union(second), "links")
+    marked = _spread(marked, links)
+    met = _side(marked, "a").join(_side(marked, "b"), "token").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _may_link(limit))
+    last = _verified(cut(met.select("a", "b").distinct(), "candidates"), sets, limit)
+    return scanned.select("doc_id", "n", "owner"), cut(links.union(last), "links")
 
 
 def groups(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -> DataFrame:
