@@ -1,0 +1,383 @@
+"""Operators over documents against plain Python versions, on awkward rows and on empty tables."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from llm_fixtures import prose, shingles, words
+from tidemark.llm import decontam, fingerprints, jaccard, mixing, passages, secrets, tokencount, tokens, toxicity
+
+
+def plain(rows):
+    return sorted(rows, key=repr)
+
+
+# words and shingles
+
+
+def test_hashed_words_are_words(awkward):
+    texts = [t for _, t, _ in awkward[1]]
+    hashes, bounds = tokens.word_hashes(pa.array(texts))
+    seen = {}
+    for i, t in enumerate(texts):
+        own = hashes[bounds[i] : bounds[i + 1]].tolist()
+        assert len(own) == len(words(t))
+        for h, w in zip(own, words(t)):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    sh, at = tokens.shingles(hashes, bounds, 4)
+    assert [len(set(sh[a:b].tolist())) for a, b in zip(at, at[1:])] == [len(shingles(t, 4)) for t in texts]
+
+
+def test_chunks_cover_all_rows():
+    column = pa.array(["x" * n for n in (5, 0, 100, 3, 3, 90)] + [None])
+    assert list(tokens.chunks(column, 50)) == [(0, 2), (2, 3), (3, 5), (5, 6), (6, 7)]  # a row above the limit is alone
+    assert list(tokens.chunks(column.slice(1, 0))) == []
+
+
+# op10
+
+
+def test_token_counts(awkward):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs, rows = awkward
+    got = tokencount.count_tokens(docs, path, limit=50)
+    want = [(i, len((t or "").encode()), len(model.encode(t or "")), len(model.encode(t or "")) > 50) for i, t, _ in rows]
+    assert plain(map(tuple, got.collect())) == plain(want)
+    assert tokencount.count_tokens(docs.limit(0), path).count() == 0
+    odd = ["a  b", " a", "a ", "\n", " \n x", "a▁b ▁ c", "<s> </s> <unk>", "\t\r\n;\r", "12 345", "é́ 中文 🎉🎉", "a b"]
+    counter = tokencount.PieceCounter(path, kept=4)
+    assert counter.splits and counter.counts(odd).tolist() == [len(model.encode(t)) for t in odd]
+
+
+# op5
+
+
+def test_fingerprints(awkward):
+    docs, rows = awkward
+    got = fingerprints.fingerprint_with_neighbours(docs).collect()
+    ordered = sorted(((i, t or "") for i, t, _ in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert len(got) == len(rows)
+    want = Counter()
+    for k, (i, t) in enumerate(ordered):
+        after = ordered[(k + 1) % len(ordered)][1]
+        half = len(t) // 2
+        want[i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == want
+    by_text = defaultdict(set)
+    texts = {(i, hashlib.sha256((t or "").encode()).hexdigest()): t for i, t, _ in rows}
+    for r in got:
+        if r.doc_id is not None and r.doc_id < 300:
+            by_text[next(t or "" for (i, _), t in texts.items() if i == r.doc_id)].add(r.fingerprint)
+    assert all(len(v) == 1 for v in by_text.values())
+    assert fingerprints.fingerprint_with_neighbours(docs.limit(0)).count() == 0
+    [one] = fingerprints.fingerprint_with_neighbours(docs.where("doc_id = 100")).collect()
+    assert one.near_next == 1.0
+
+
+def test_fingerprints_estimate_similarity():
+    rng = random.Random(2)
+    texts, truth = [], []
+    for k in range(0, 100, 10):
+        w = prose(rng, 600, 10**6).split()
+        other = w[: 6 * (100 - k)] + prose(rng, 6 * k, 10**6).split()
+        a, b = shingles(" ".join(w), 5), shingles(" ".join(other), 5)
+        texts += [" ".join(w), " ".join(other)]
+        truth.append(len(a & b) / len(a | b))
+    v, some = fingerprints.values(texts)
+    near = fingerprints.likeness(v[::2], some[::2], v[1::2], some[1::2])
+    assert np.abs(near - np.array(truth)).max() < 0.12 and np.abs(near - np.array(truth)).mean() < 0.04
+    assert (fingerprints.unpack(fingerprints.pack(v[0])) == v[0]).all()
+    v, some = fingerprints.values(["one word set", "another quite", "", " "])
+    assert fingerprints.likeness(v[:1], some[:1], v[1:2], some[1:2])[0] < 0.1
+    assert fingerprints.likeness(v[2:3], some[2:3], v[3:], some[3:])[0] == 1.0
+
+
+# op7
+
+
+def filled(sizes, weights=(5, 2, 1), share=1.5, cap=2.0):
+    """Targets by sharing the excess again and again."""
+    names = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, left, open_ = {s: 0.0 for s in names}, share * sum(sizes.values()), set(names)
+    while open_ and left > 1e-9:
+        unit = left / sum(w[s] for s in open_)
+        full = {s for s in open_ if target[s] + unit * w[s] >= cap * sizes[s]}
+        if not full:
+            for s in open_:
+                target[s] += unit * w[s]
+            break
+        for s in full:
+            left -= cap * sizes[s] - target[s]
+            target[s] = cap * sizes[s]
+        open_ -= full
+    return target
+
+
+def test_mixing(awkward):
+    docs, rows = awkward
+    got = mixing.mix_sources(docs).select("row.doc_id", "row.source", "size", "source_size", "target", "copies").collect()
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    target = filled(sizes)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(target[r.source])
+        assert int(r.target / max(r.source_size, 1)) <= r.copies <= 2
+    again = mixing.mix_sources(docs.repartition(7)).select("row.doc_id", "row.source", "size", "source_size", "target", "copies").collect()
+    assert plain(got) == plain(again)
+    emitted = mixing.emit(mixing.mix_sources(docs))
+    assert emitted.columns == docs.columns + ["copy"] and emitted.count() == sum(r.copies for r in got)
+    assert mixing.mix_sources(docs.limit(0)).count() == 0 and mixing.mix_sources(docs.where("doc_id = 200")).first().copies == 0
+
+
+def test_mixing_comes_near_its_targets(make_docs):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), rng.choice(["a"] * 6 + ["b", "c", "d", None])) for i in range(4000)]
+    got = mixing.mix_sources(make_docs(rows)).select("row.source", "size", "target", "copies").collect()
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r["size"] * r.copies
+        target[r.source] = r.target
+    assert all(abs(taken[s] / target[s] - 1) < 0.08 for s in target)
+    skewed = {f"s{i}": [5, 300, 1, 0, 7000][i % 5] * (i + 1) for i in range(17)}
+    frame = make_docs([(0, None, "x")]).sparkSession.createDataFrame(list(skewed.items()), "source string, size long")
+    assert {r.source: pytest.approx(r.target) for r in mixing.source_plan(frame).collect()} == filled(skewed)
+
+
+# op8
+
+
+def linked_by_hand(rows, n, num, den):
+    sets = [shingles(t, n) for _, t, _ in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and len(a & b) * den >= len(a | b) * num:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (d, _, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(least.get(root(i), d), d)
+    return [(d, len(sets[i]), least.get(root(i)) if sets[i] else d) for i, (d, _, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("n,num", [(4, 85), (5, 80)])
+def test_jaccard_groups(awkward, n, num):
+    docs, rows = awkward
+    got = jaccard.groups(docs, n, jaccard.Threshold(num, 100)).collect()
+    assert plain(map(tuple, got)) == plain(linked_by_hand(rows, n, num, 100))
+
+
+def test_jaccard_of_many_near_copies(make_docs):
+    """A group whose similarities lie on both sides of the threshold: stars and chains can't connect it all."""
+    rng = random.Random(9)
+    w = prose(rng, 120).split()
+    rows = []
+    for i in range(250):
+        edited = list(w)
+        for _ in range(rng.randrange(0, 9)):
+            edited[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(edited), "s"))
+    got = jaccard.groups(make_docs(rows), 4, jaccard.Threshold(85, 100)).collect()
+    assert plain(map(tuple, got)) == plain(linked_by_hand(rows, 4, 85, 100))
+
+
+def test_jaccard_keeps_one(awkward):
+    docs, rows = awkward
+    kept = jaccard.keep_one(docs, 5, jaccard.Threshold(80, 100))
+    assert kept.columns == docs.columns
+    want = Counter(d for d, _, c in set(linked_by_hand(rows, 5, 80, 100)) if d == c)
+    got = Counter(r.doc_id for r in kept.collect())
+    assert set(got) == set(want) and got[300] == 1 and got[200] == 1
+    assert jaccard.groups(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
+
+
+# op9
+
+
+def contaminated_by_hand(rows, items, n):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: pattern.findall((t or "").translate(lower))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = split(t)
+        size = min(len(w), n)
+        for k in range(len(w) - size + 1 if size else 0):
+            windows[tuple(w[k : k + size])].add("" if i is None else str(i))
+    out = []
+    for d, t, _ in rows:
+        w, hit, found = split(t), set(), set()
+        for size in {len(k) for k in windows}:
+            for k in range(len(w) - size + 1):
+                if (own := windows.get(tuple(w[k : k + size]))) is not None:
+                    hit.update(range(k, k + size))
+                    found |= own
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def test_contamination(awkward, make_docs, spark):
+    docs, rows = awkward
+    w = next(t for i, t, _ in rows if i == 100).split()
+    items = [(1, " ".join(w[50:75])), (10, " ".join(w[55:70]).upper()), (2, "lonely, WORDS!"), (3, "nobody"), (4, None), (5, ""), (6, "never seen anywhere at all in any of these texts up there"), (None, " ".join(w[100:115])), (1, " ".join(w[150:161])), (7, "twice; the-same")]
+    table = spark.createDataFrame([(i, t, 9) for i, t in items], "item_id long, text string, pos int")
+    got = decontam.contamination(docs, table, 10)
+    want = contaminated_by_hand(rows, items, 10)
+    assert plain(map(tuple, got.collect())) == plain(want)
+    kept = decontam.drop_contaminated(docs, table, 10)
+    assert kept.columns == docs.columns and kept.count() == sum(not r[-1] for r in want)
+    assert decontam.contamination(docs.limit(0), table).count() == 0
+    assert decontam.contamination(docs, table.limit(0)).where("contaminated").count() == 0
+
+
+def test_proximity(make_docs, spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
+    docs = make_docs([(1, "x alpha beta y gamma delta", "s"), (2, "alpha a b c d e beta gamma delta", "s"), (3, "alpha beta gamma delta", "s")])
+    near = lambda slop: {r.doc_id for r in decontam.contamination(docs, items, 4, slop).where("contaminated").collect()}
+    assert near(0) == {3} and near(1) == {1, 3}
+
+
+# op4
+
+
+def test_compact_windows():
+    rng = np.random.default_rng(3)
+    for size in (5, 6, 7, 30, 200):
+        values = rng.permutation(size * 3).astype(np.uint64)[: size * 2] << np.uint64(40)
+        bounds = np.array([0, size, 2 * size])
+        got = {(t, c, l, r) for t, c, l, r in zip(*(x.tolist() for x in passages.compact_windows(values, bounds, 6)))}
+        want = set()
+        for t in (0, 1):
+            own = values[t * size : (t + 1) * size]
+            for c in range(size):
+                l = max((i + 1 for i in range(c) if own[i] < own[c]), default=0)
+                r = min((i - 1 for i in range(c + 1, size) if own[i] < own[c]), default=size - 1)
+                if r - l + 1 >= 6:
+                    want.add((t, c, l, r))
+        assert got == want
+
+
+def test_repeated_passages(awkward):
+    docs, rows = awkward
+    runs = defaultdict(set)
+    for i, t, _ in rows:
+        w = words(t)
+        for k in range(len(w) - 49):
+            runs[tuple(w[k : k + 50])].add((i, t))
+    want = {i for found in runs.values() if len(found) > 1 for i, _ in found if i is not None}
+    got = passages.repeated_passages(docs).collect()
+    assert want <= {r.doc_id for r in got}
+    allowed = {i for i, t, _ in rows if i is None or 100 <= i < 140}
+    assert {r.doc_id for r in got} <= allowed
+    assert len({r.class_id for r in got if r.doc_id is not None and r.doc_id < 104}) == 1
+    for r in got:
+        if 130 <= (r.doc_id or 0) < 135:
+            assert r.last_word - r.first_word + 1 >= 70
+    assert passages.repeated_passages(docs.limit(0)).count() == 0
+
+
+def test_passage_verification():
+    rng = np.random.default_rng(1)
+    p, q = rng.integers(0, 1 << 30, 300, dtype=np.uint32), rng.integers(0, 1 << 30, 400, dtype=np.uint32)
+    assert passages.passages_of(p, q) == []
+    q[100:180] = p[20:100]
+    assert passages.passages_of(p, q) == [(20, 99, 100, 179, 1.0)]
+    q[120], q[140] = 1, 2
+    [(a, b, c, d, similarity)] = passages.passages_of(p, q)
+    assert (a, b, c, d) == (20, 99, 100, 179) and similarity > 0.9
+    q[250:330] = p[200:280]
+    assert len(passages.passages_of(p, q)) == 2
+
+
+# op1
+
+
+def test_toxicity_on_held_out_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = labels.where("doc_id % 3 = 0")
+    scored = toxicity.toxicity(docs, labels.where("doc_id % 3 <> 0")).withColumnRenamed("toxic", "found").join(held, "doc_id")
+    table = {(r.found, r.toxic): r["count"] for r in scored.groupBy("found", "toxic").count().collect()}
+    right, missed, wrong, clean = (table.get(k, 0) for k in ((True, 1), (False, 1), (True, 0), (False, 0)))
+    # some toxic rows are junk that has lost its toxic words, and some clean ones hold a stem of toxic words by chance
+    assert right / (right + missed) > 0.9 and wrong / (wrong + clean) < 0.005
+
+
+def test_toxicity_on_awkward_rows(awkward, spark):
+    docs, rows = awkward
+    labels = spark.createDataFrame([(i, 0, 5) for i in range(40)] + [(None, 1, 5), (100, None, 5)], "doc_id long, toxic int, quality int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(rows) and not any(r.toxic for r in got)
+    kept = toxicity.drop_toxic(docs, labels.limit(0))
+    assert kept.columns == docs.columns and plain(map(tuple, kept.collect())) == plain(map(tuple, docs.collect()))
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_ordinal_regression_orders_grades():
+    rng = np.random.default_rng(0)
+    rows, grades = [], []
+    for _ in range(600):
+        g = int(rng.integers(0, 4))
+        rows.append(np.unique(np.concatenate([rng.integers(100, 400, 12), rng.choice(20, 3 * g, replace=False)])).astype(np.int32))
+        grades.append(g)
+    model = toxicity.fit(rows, np.array(grades))
+    assert (np.diff(model.thresholds) > 0).all()
+    weight = dict(zip(model.ids.tolist(), model.weights.tolist()))
+    severity = model.severity(np.array([sum(weight.get(int(f), 0) for f in r) for r in rows]))
+    means = [severity[np.array(grades) == g].mean() for g in range(4)]
+    assert means == sorted(means) and abs(means[0]) < 0.4 and means[3] > 2.5
+
+
+# op3
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.Forest(secrets.labelled_findings(spark))
+
+
+def test_forest_on_held_out_findings(spark, forest):
+    from pyspark.sql import functions as F
+
+    rows = secrets.labelled_findings(spark, rows=1000, seed=99)
+    value = F.col("value")
+    score = forest(secrets.features(value, F.col("before"), F.col("after"), F.col("path"), value))
+    got = rows.select("is_secret", (score >= 0.5).cast("int").alias("found")).collect()
+    right = sum(r.is_secret == r.found for r in got)
+    assert right / len(got) > 0.95
+
+
+def test_secrets(make_docs, awkward, forest):
+    key = hashlib.sha1(b"k").hexdigest()
+    rows = [
+        (1, f'some words token = "{key}" and more', "src"), (2, f"commit {key} fixed it", "src"), (3, "card 4785380592391139 paid", "src"),
+        (4, "TOKEN = \"" + key.upper() + "\"!!", None), (5, None, "src"), (6, "", "src"), (7, f"token = {key} token = {key} x", "src"),
+    ]
+    docs = make_docs(rows)
+    found = secrets.findings(docs, forest).collect()
+    assert {r.doc_id for r in found if r.is_secret} == {1, 4, 7} and {r.doc_id for r in found} == {1, 2, 3, 4, 7}
+    clean = {r.doc_id: r for r in secrets.redact(docs, forest).collect()}
+    assert clean[1].text == 'some words token = "[REDACTED]" and more' and clean[1].n_chars == len(clean[1].text)
+    assert clean[2].text == rows[1][1] and clean[5].text is None and clean[6].text == "" and key not in clean[7].text
+    assert secrets.redact(docs, forest).columns == docs.columns
+    odd, _ = awkward
+    assert secrets.redact(odd, forest).exceptAll(odd).count() == 0
+    assert secrets.findings(docs.limit(0), forest).count() == 0

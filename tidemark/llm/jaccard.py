@@ -87,7 +87,8 @@ def _scan(n: int):
                 report = [None] * (b - a)
                 report[0] = ids[often].tobytes() + counts[often].astype(np.int64).tobytes() if often.any() else None
                 owner = pa.array(owners.view(np.int64), mask=sizes == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sizes), owner, pa.array(report, type=pa.binary())], names=["doc_id", "n", "owner", "often"])
+                ids = [batch.column(i).slice(a, b - a) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes), owner, pa.array(report, type=pa.binary())], names=["doc_id", "h", "n", "owner", "often"])
 
     return run
 
@@ -229,11 +230,11 @@ def _spread(marked: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n, owner), and verified pairs of sets (a, b) that connect all that are connected."""
+    """Documents (doc_id, h, n, owner), h a hash of the text, and verified pairs of sets (a, b) that connect all that are connected."""
     spark = docs.sparkSession
     buckets = shuffle_width(spark)
     text = docs["text"].alias("text")
-    scanned = cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text).mapInArrow(_scan(n), "doc_id long, n long, owner long, often binary"), "scan")
+    scanned = cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text, _text_hash(docs)).mapInArrow(_scan(n), "doc_id long, h long, n long, owner long, often binary"), "scan")
     often = scanned.where("often is not null").select("often").mapInArrow(_reported, "shingle long, sets long")
     often = often.groupBy("shingle").agg(F.sum("sets").alias("sets")).where(F.col("sets") > COMMON * scanned.count())
     # at most (shingles of a document) / COMMON rows, however many documents there are
@@ -267,11 +268,15 @@ def linked(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -
     marked = _spread(marked, links)
     met = _side(marked, "a").join(_side(marked, "b"), "token").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _may_link(limit))
     last = _verified(cut(met.select("a", "b").distinct(), "candidates"), sets, limit)
-    return scanned.select("doc_id", "n", "owner"), cut(links.union(last), "links")
+    return scanned.select("doc_id", "h", "n", "owner"), cut(links.union(last), "links")
 
 
-def groups(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each document."""
+def _text_hash(docs: DataFrame) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("h")
+
+
+def _grouped(docs: DataFrame, n: int, limit: Threshold) -> DataFrame:
     scanned, links = linked(docs, n, limit)
     member = components(links)
     least = scanned.where("owner is not null").groupBy("owner").agg(F.min("doc_id").alias("least"))
@@ -279,18 +284,26 @@ def groups(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -
     of = least.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = cut(least.join(of, "component").select(F.col("owner").alias("of_owner"), "component_id"), "ids")
     out = scanned.join(ids, scanned["owner"] == ids["of_owner"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def groups(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each document."""
+    return _grouped(docs, n, limit).drop("h")
 
 
 def keep_one(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -> DataFrame:
-    """The documents with the least id of their group, with all their columns; of equal rows of one id, one."""
-    found = groups(docs, n, limit)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("gone")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63))).alias("id"))
-    rows = rows.join(gone, rows["id"] == gone["gone"], "left_anti")
-    twice = found.groupBy("doc_id").agg(F.count("*").alias("k"), F.max("n_shingles").alias("n")).where("k > 1 and n > 0").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("twice"))
-    twice = cut(twice, "twice")
+    """The documents with the least id of their group, with all their columns; of equal rows, one.
+
+    Rows are told apart by id and text. What goes is the smaller part, so the join is against that.
+    """
+    none = F.lit(-(1 << 63))
+    found = cut(_grouped(docs, n, limit).withColumn("id", F.coalesce("doc_id", none)), "grouped")
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("id", "h").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs["doc_id"].cast("long"), none).alias("id"), _text_hash(docs))
+    rows = rows.join(gone, ["id", "h"], "left_anti")
+    twice = cut(found.where("n_shingles > 0").groupBy("id", "h").count().where("count > 1").select("id", "h"), "twice")
     if twice.isEmpty():
         return rows.select("row.*")
-    again = rows.join(twice, rows["id"] == twice["twice"], "left_semi").select("row.*").dropDuplicates()
-    return rows.join(twice, rows["id"] == twice["twice"], "left_anti").select("row.*").unionByName(again)
+    again = rows.join(twice, ["id", "h"], "left_semi").select("row.*").dropDuplicates()
+    return rows.join(twice, ["id", "h"], "left_anti").select("row.*").unionByName(again)

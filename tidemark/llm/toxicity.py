@@ -101,7 +101,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 400, decay: flo
         return none
     ids, odds, error = log_odds(rows, grades > grades.min())
     strength = np.abs(odds) / error
-    chosen = np.sort(np.argsort(-strength, kind="stable")[: min(max_features, int((strength > 2.5).sum()))])
+    chosen = np.sort(np.argsort(-strength, kind="stable")[: min(max_features, int((strength > 2.0).sum()))])
     ids = ids[chosen]
     if not len(ids):
         return none
