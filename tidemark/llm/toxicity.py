@@ -78,19 +78,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def log_odds(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features with the log ratio of their odds in toxic and in clean documents, and its standard error."""
+    """Features of two rows or more, with the log ratio of their odds in toxic and in clean documents, and its standard
+    error. Counted row by row in tables of all features, so the rows are never copied together."""
+    counts = np.zeros((2, 1 << BITS), dtype=np.int32)
+    for r, t in zip(rows, toxic):
+        counts[int(t), r] += 1
+    ids = np.flatnonzero(counts.sum(axis=0) > 1).astype(np.int32)
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    ids, code = np.unique(np.concatenate(rows), return_inverse=True)
-    of = np.repeat(toxic, [len(r) for r in rows])
-    a, b = np.bincount(code[of], minlength=len(ids)) + 0.5, np.bincount(code[~of], minlength=len(ids)) + 0.5
+    a, b = counts[1, ids] + 0.5, counts[0, ids] + 0.5
     return ids, np.log(a / (n1 + 1 - a)) - np.log(b / (n0 + 1 - b)), np.sqrt(1 / a + 1 / b)
 
 
+def _among(ids: np.ndarray) -> np.ndarray:
+    table = np.zeros(1 << BITS, dtype=bool)
+    table[ids] = True
+    return table
+
+
 def grade(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
     """0 for clean, 1 or 2 for toxic documents by how many strong features they hold."""
     ids, odds, _ = log_odds(rows, toxic)
-    strong = ids[odds > STRONG]
-    hits = np.array([len(np.intersect1d(r, strong, assume_unique=True)) for r in rows])
+    strong = _among(ids[odds > STRONG])
+    hits = np.array([np.count_nonzero(strong[r]) for r in rows])
     return np.where(toxic, 1 + (hits > np.median(hits[toxic])), 0)
 
 
@@ -105,11 +114,9 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 400, decay: flo
     ids = ids[chosen]
     if not len(ids):
         return none
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    flat = np.concatenate(rows)
-    place = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-    hit = ids[place] == flat
-    row, col = row[hit], place[hit]
+    used = _among(ids)
+    kept = [r[used[r]] for r in rows]
+    row, col = np.repeat(np.arange(len(rows)), [len(r) for r in kept]), np.searchsorted(ids, np.concatenate(kept))
     top = int(grades.max())
     at = np.zeros(len(ids) + top)  # weights, then the first threshold and the logs of the gaps to the others
     at[len(ids)] = 1.0
@@ -149,7 +156,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN
     text = docs.select(docs["doc_id"].cast("long").alias("doc"), docs["text"].alias("text"))
     # the sample is at most max_train rows of two numbers
     joined = text.join(F.broadcast(rows), text["doc"] == rows["id"]).select("id", "toxic", "text")
-    got = joined.mapInArrow(distinct, "id long, toxic int, features binary").orderBy("id", "toxic", "features").limit(max_train).collect()
+    got = joined.mapInArrow(distinct, "id long, toxic int, features binary").limit(max_train).collect()
+    got.sort()  # ids of several rows may bring more than max_train; which of those stay is of no matter
     return [np.frombuffer(r["features"], dtype=np.int32) for r in got], np.array([r["toxic"] > 0 for r in got], dtype=bool)
 
 
