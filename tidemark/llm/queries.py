@@ -86,10 +86,37 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.groups(_table(spark, sf_dir, "documents"), 4, jaccard.Threshold(85, 100))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE dw AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[s : s + 3], ' ') AS spelled FROM (SELECT *, unnest(range(1, greatest(len(w) - 2, 2))) AS s FROM dw WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.spelled = b.spelled AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN size p ON p.doc_id = x JOIN size q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM dw UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+SELECT x AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(y) AS component_id FROM reach LEFT JOIN size ON size.doc_id = x GROUP BY x
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+OP9_SQL = r"""
+WITH dw AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s : s + least(len(w), 10) - 1], ' ') AS spelled
+        FROM (SELECT *, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS s FROM iw WHERE len(w) > 0)),
+pos AS (SELECT doc_id, s, n, array_to_string(w[s : s + n - 1], ' ') AS spelled
+        FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM dw, (SELECT DISTINCT n FROM win))),
+hit AS (SELECT doc_id, s, n, item_id FROM pos JOIN win USING (n, spelled)),
+place AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+per AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN place USING (doc_id) LEFT JOIN per USING (doc_id)
+"""
+
+
 def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -108,4 +135,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_tokens": op10_tokens,
 }
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op7_mixing": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op7_mixing": OP7_SQL, "op8_jaccard": OP8_SQL, "op9_decontamination": OP9_SQL}
