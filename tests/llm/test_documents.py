@@ -209,6 +209,22 @@ def test_jaccard_keeps_one(awkward):
     assert jaccard.groups(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, few):
+    from tidemark.llm.components import components
+
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(70)] + [(-5, 3), (7, 7)]
+    least = {}
+    for _ in range(300):
+        for a, b in edges:
+            if a != b:
+                least[a] = least[b] = min(least.get(a, a), least.get(b, b))
+    got = components(spark.createDataFrame(edges, "a long, b long"), few)
+    assert {r.node: r.component for r in got.collect()} == least
+    assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
 # op9
 
 

@@ -174,7 +174,6 @@ _SETS = "owner long, n int, prefix int, shared array<long>, bits array<long>"
 
 def _assemble(limit: Threshold):
     def run(table: pa.Table) -> pa.Table:
-        schema = pa.schema([("owner", pa.int64()), ("n", pa.int32()), ("prefix", pa.int32()), ("shared", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
         owner, size, shingle, rank = _unpacked(table)
         order = np.lexsort((shingle, rank, owner))
         owner, size, shingle = owner[order], size[order], shingle[order]
@@ -184,13 +183,19 @@ def _assemble(limit: Threshold):
         shared = np.diff(np.append(first, len(owner)))
         n = size[first]
         prefix = shared - limit.least(n) + 1  # of the n - least(n) + 1 first, those that are shared
-        rows = []
-        for i in np.flatnonzero(prefix > 0):
-            own = shingle[first[i] : first[i] + shared[i]]
-            bits = np.zeros(64 * LONGS, dtype=np.uint8)
-            bits[(own >> U(20) & U(64 * LONGS - 1)).astype(np.int64)] = 1
-            rows.append({"owner": int(owner[first[i]].view(np.int64)), "n": int(n[i]), "prefix": int(prefix[i]), "shared": own.view(np.int64), "bits": np.packbits(bits).view(np.int64)})
-        return pa.Table.from_pylist(rows, schema=schema)
+        keep = np.flatnonzero(prefix > 0)
+        held = np.repeat(prefix > 0, shared)
+        bits = np.zeros((len(keep), 64 * LONGS), dtype=np.uint8)
+        bits[np.repeat(np.arange(len(keep)), shared[keep]), (shingle[held] >> U(20) & U(64 * LONGS - 1)).astype(np.int64)] = 1
+        offsets = np.concatenate(([0], np.cumsum(shared[keep]))).astype(np.int32)
+        columns = [
+            pa.array(owner[first[keep]].view(np.int64)),
+            pa.array(n[keep].astype(np.int32)),
+            pa.array(prefix[keep].astype(np.int32)),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingle[held].view(np.int64))),
+            pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * LONGS), pa.array(np.packbits(bits, axis=1).view(np.int64).ravel())),
+        ]
+        return pa.Table.from_arrays(columns, names=["owner", "n", "prefix", "shared", "bits"])
 
     return run
 
@@ -232,7 +237,7 @@ def _spread(marked: DataFrame, links: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, h, n, owner), h a hash of the text, and verified pairs of sets (a, b) that connect all that are connected."""
     spark = docs.sparkSession
-    buckets = shuffle_width(spark)
+    buckets = 2 * shuffle_width(spark)
     text = docs["text"].alias("text")
     scanned = cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text, _text_hash(docs)).mapInArrow(_scan(n), "doc_id long, h long, n long, owner long, often binary"), "scan")
     often = scanned.where("often is not null").select("often").mapInArrow(_reported, "shingle long, sets long")

@@ -169,12 +169,14 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Ord
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """All rows of ``docs`` with what the model says in front: (severity, row)."""
 
+    at = docs.columns.index("text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            severity = model.severity(model.score(batch.column(1)))
+            severity = model.severity(model.score(batch.column(0).field(at)))
             yield pa.RecordBatch.from_arrays([pa.array(severity), batch.column(0)], names=["severity", "row"])
 
-    packed = docs.select(F.struct("*").alias("row"), docs["text"].alias("text"))
+    packed = docs.select(F.struct("*").alias("row"))  # the text travels once
     return packed.mapInArrow(run, f"severity double, row {packed.schema['row'].dataType.simpleString()}")
 
 
