@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import deltas
+from tidemark.functions import deltas, frames
 from tidemark.model import Matcher, labels_from_entries, labels_str
 from tidemark.operators import blocks, chunks, head, index, select
 from tidemark.operators.querier import Querier
@@ -292,6 +292,25 @@ def chunk_refs(spark, sf_dir):
     return refs.select(deltas.chunk_ref_seq(F.col("ref")).alias("seq"), deltas.chunk_ref_offset(F.col("ref")).alias("off"), "ref")
 
 
+@query()
+def crc32c(spark, sf_dir):
+    """Checksums of all label strings; no SQL engine at hand has this polynomial."""
+    rows = tables.events(spark, sf_dir).select(labels_str(F.col("labels")).alias("labels_str")).distinct()
+    return frames.crc32c(rows, "labels_str")
+
+
+@query("SELECT arrival - 5000 AS x, arrival - 5000 AS decoded FROM e")
+def varint(spark, sf_dir):
+    rows = tables.events(spark, sf_dir).select((F.col("arrival") - 5000).alias("x"))
+    return frames.varint_round_trip(rows, "x").select("x", "decoded")
+
+
+@query("SELECT t, arrival AS count, arrival % 3 AS zero_count, arrival - arrival % 3 AS first_bucket FROM e")
+def histogram_roundtrip(spark, sf_dir):
+    rows = tables.events(spark, sf_dir).select("t", F.col("arrival").alias("count"), (F.col("arrival") % 3).alias("zero_count"))
+    return frames.histogram_round_trip(rows)
+
+
 @query("SELECT labels_str, t, v FROM e")
 def xor_roundtrip(spark, sf_dir):
     encoded = chunks.encode_chunks(tables.events(spark, sf_dir), "arrival")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.codecs import new_ulid
-from tidemark.model import NAME, Matcher, all_of, label, series_key
+from tidemark.model import NAME, Matcher, label, series_key
 from tidemark.operators.select import select_samples
 
 
@@ -40,5 +40,3 @@ def scan(spark: SparkSession, path: str, matchers: Sequence[Matcher], mint: int,
             rows = rows.where(m.on(F.col("metric")))
     return select_samples(rows, matchers, mint, maxt)
 
-
-__all__ = ["write_blocks", "scan", "all_of"]
