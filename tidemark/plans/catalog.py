@@ -249,7 +249,7 @@ def querier_chunks_sorted(spark, sf_dir):
     block, live = _split(spark, sf_dir)
     found = Querier([block], [live]).select([Matcher.equal("event_type", "purchase")], MINT, MAXT)
     rows = found.select(labels_str(F.col("labels")).alias("labels_str"), F.posexplode("chunks").alias("pos", "c"))
-    return rows.select("labels_str", "pos", "c.min_time", "c.max_time")
+    return rows.select("labels_str", F.col("pos").cast("long").alias("pos"), "c.min_time", "c.max_time")
 
 
 @query("SELECT labels_str, t, v FROM (SELECT *, arrival % 3 AS block_ord, row_number() OVER (PARTITION BY labels_str, t ORDER BY arrival % 3 DESC, arrival DESC) AS k FROM o) WHERE k = 1")
