@@ -310,6 +310,21 @@ def test_repeated_passages(awkward):
     assert passages.repeated_passages(docs.limit(0)).count() == 0
 
 
+def made_up(rng, n):
+    return [f"w{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_passages_around_a_very_frequent_line(make_docs):
+    rng = random.Random(8)
+    line, rows = made_up(rng, 40), []
+    for i in range(0, 40, 2):  # two texts go on with the same words after the line
+        own = made_up(rng, 12)
+        rows += [(k, " ".join(made_up(rng, 30) + line + own + made_up(rng, 30)), "s") for k in (i, i + 1)]
+    got = passages.repeated_passages(make_docs(rows)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_partners) for r in got) == [(i, i // 2 * 2, 1) for i in range(40)]
+    assert all(r.first_word <= 35 and r.last_word >= 76 for r in got)
+
+
 def test_passage_verification():
     rng = np.random.default_rng(1)
     p, q = rng.integers(0, 1 << 30, 300, dtype=np.uint32), rng.integers(0, 1 << 30, 400, dtype=np.uint32)

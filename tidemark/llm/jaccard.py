@@ -235,7 +235,10 @@ def _spread(marked: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, h, n, owner), h a hash of the text, and verified pairs of sets (a, b) that connect all that are connected."""
+    """Documents (doc_id, h, n, owner), h a hash of the text, and verified pairs of sets (a, b) that connect all that are connected.
+
+    Pairs inside one component are not enumerated once it is known: the pairs are not all that link.
+    """
     spark = docs.sparkSession
     buckets = 2 * shuffle_width(spark)
     text = docs["text"].alias("text")
@@ -287,28 +290,30 @@ def _grouped(docs: DataFrame, n: int, limit: Threshold) -> DataFrame:
     least = scanned.where("owner is not null").groupBy("owner").agg(F.min("doc_id").alias("least"))
     least = least.join(member, least["owner"] == member["node"], "left").select("owner", "least", F.coalesce("component", "owner").alias("component"))
     of = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = cut(least.join(of, "component").select(F.col("owner").alias("of_owner"), "component_id"), "ids")
+    ids = cut(least.join(of, "component").select(F.col("owner").alias("of_owner"), "component_id", "component"), "ids")
     out = scanned.join(ids, scanned["owner"] == ids["of_owner"], "left")
-    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def groups(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one for each document."""
-    return _grouped(docs, n, limit).drop("h")
+    return _grouped(docs, n, limit).drop("h", "component")
 
 
 def keep_one(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -> DataFrame:
-    """The documents with the least id of their group, with all their columns; of equal rows, one.
+    """One document of each group, with all its columns: the one of the least id (null ids last), text hash and row hash.
 
-    Rows are told apart by id and text. What goes is the smaller part, so the join is against that.
+    Rows are told apart by id and text first. What goes is the smaller part, so the join is against that.
     """
     none = F.lit(-(1 << 63))
     found = cut(_grouped(docs, n, limit).withColumn("id", F.coalesce("doc_id", none)), "grouped")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("id", "h").distinct()
+    grouped = found.where("component is not null").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "id", "h").alias("own"))
+    best = grouped.groupBy("component").agg(F.min("own").alias("best"))
+    gone = grouped.distinct().join(best, "component").where("own <> best").select("own.id", "own.h")
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs["doc_id"].cast("long"), none).alias("id"), _text_hash(docs))
     rows = rows.join(gone, ["id", "h"], "left_anti")
     twice = cut(found.where("n_shingles > 0").groupBy("id", "h").count().where("count > 1").select("id", "h"), "twice")
     if twice.isEmpty():
         return rows.select("row.*")
-    again = rows.join(twice, ["id", "h"], "left_semi").select("row.*").dropDuplicates()
+    again = rows.join(twice, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
     return rows.join(twice, ["id", "h"], "left_anti").select("row.*").unionByName(again)
