@@ -325,6 +325,21 @@ def test_passages_around_a_very_frequent_line(make_docs):
     assert all(r.first_word <= 35 and r.last_word >= 76 for r in got)
 
 
+def test_passages_that_one_text_holds_twice(make_docs):
+    rng = random.Random(9)
+    shared, line = made_up(rng, 60), made_up(rng, 20)
+    twice = made_up(rng, 80) + shared + made_up(rng, 150) + shared + made_up(rng, 40)
+    rows = [(1, " ".join(twice), "s"), (2, " ".join(made_up(rng, 30) + shared + made_up(rng, 30)), "s")]
+    for i in range(10, 30, 2):  # a part of the passage is in both texts before it, at other distances
+        own = made_up(rng, 20) + line + made_up(rng, 20)
+        rows += [(i + k, " ".join(made_up(rng, 50) + own[8:50] + made_up(rng, 60 + 30 * k) + own), "s") for k in (0, 1)]
+    got = passages.repeated_passages(make_docs(rows)).collect()
+    assert sorted((r.first_word, r.last_word) for r in got if r.doc_id == 1) == [(80, 139), (290, 349)]
+    assert [(r.first_word, r.last_word, r.class_id, r.n_partners) for r in got if r.doc_id == 2] == [(30, 89, 1, 1)]
+    ends = {(r.doc_id, r.last_word) for r in got}
+    assert {(i + k, 50 + 42 + 60 + 30 * k + 59) for i in range(10, 30, 2) for k in (0, 1)} <= ends
+
+
 def test_passage_verification():
     rng = np.random.default_rng(1)
     p, q = rng.integers(0, 1 << 30, 300, dtype=np.uint32), rng.integers(0, 1 << 30, 400, dtype=np.uint32)
