@@ -340,6 +340,16 @@ def test_passages_that_one_text_holds_twice(make_docs):
     assert {(i + k, 50 + 42 + 60 + 30 * k + 59) for i in range(10, 30, 2) for k in (0, 1)} <= ends
 
 
+def test_passages_inside_copies(make_docs):
+    rng = random.Random(10)
+    one, two = made_up(rng, 60), made_up(rng, 60)
+    both = " ".join(made_up(rng, 50) + one + made_up(rng, 50) + two + made_up(rng, 50))
+    rows = [(5, both, "s"), (6, both, "s"), (3, " ".join(one + made_up(rng, 9)), "s"), (4, " ".join(two + made_up(rng, 9)), "s")]
+    got = {tuple(r) for r in passages.repeated_passages(make_docs(rows)).collect()}
+    inside = {(i, a, b, c, 2) for i in (5, 6) for a, b, c in ((50, 109, 3), (160, 219, 4))}
+    assert got == inside | {(5, 0, 269, 5, 1), (6, 0, 269, 5, 1), (3, 0, 59, 3, 2), (4, 0, 59, 4, 2)}
+
+
 def test_passage_verification():
     rng = np.random.default_rng(1)
     p, q = rng.integers(0, 1 << 30, 300, dtype=np.uint32), rng.integers(0, 1 << 30, 400, dtype=np.uint32)
