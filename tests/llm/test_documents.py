@@ -209,6 +209,16 @@ def test_jaccard_keeps_one(awkward):
     assert jaccard.groups(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_jaccard_keeps_one_of_equal_and_null_ids(make_docs):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    texts = [prose(rng, 100) for _ in range(3)]
+    rows = [(1, texts[0], "a"), (1, texts[0] + " more", "a"), (None, texts[1], "a"), (None, texts[1] + " more", "b"), (3, texts[2], "a"), (3, texts[2], "b")]
+    kept = jaccard.keep_one(make_docs(rows)).select("doc_id", F.substring("text", 1, 40).alias("t")).collect()
+    assert sorted((r.doc_id or 0, r.t) for r in kept) == sorted((i, t[:40]) for i, t in zip((1, 0, 3), texts))
+
+
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_components(spark, few):
     from tidemark.llm.components import components
