@@ -1,15 +1,19 @@
 r"""Benchmark decontamination with a distributed positional inverted index. DataFrame functions only.
 
-The index holds postings (term, document, position) of the corpus for the terms that benchmark items use. A window of
-an item's words is a list of (term, offset). Its terms are intersected from the rarest in the corpus: the rarest one's
-postings, less its offset, are the candidate starts; the next one's offset-adjusted postings thin them out; the others,
-all at once, decide. With ``slop`` above 0 a term may stand up to so many words from its place: proximity matches.
+The index holds postings (term, document, position) of the corpus for the terms that benchmark items use, made in one pass
+over the texts; another benchmark needs another pass. A posting of a negative term is a document's own: its position is
+the document's number of words. A window of an item's words is a list of (term, offset). Its terms are intersected from
+the rarest in the corpus: the rarest one's postings, less its offset, are the candidate starts; the next one's
+offset-adjusted postings thin them out; the others, all at once, decide. With ``slop`` above 0 a term may stand up to so
+many words from its place: proximity matches.
 
-Joins are on (document, position), which no frequent term or long document can make hot. The vocabulary and the windows
-are broadcast only when counted to be within ``MAX_BROADCAST``; beyond it the same joins shuffle, and Spark splits
-their skewed partitions.
+Postings meet the vocabulary and the windows by broadcast where these have been counted to be within ``MAX_BROADCAST``
+rows; beyond that they are shuffled by term and salt, so a frequent term is split among ``SALTS`` tasks. Candidates meet
+postings by (document, position), which no frequent term or long document can make hot; before that, postings of documents
+without candidates are left out by their bucket, at most ``MAX_BROADCAST`` buckets whatever the corpus.
 
-Words are runs of characters other than ASCII non-alphanumerics, with A-Z lowered.
+Words are runs of characters other than ASCII non-alphanumerics, with A-Z lowered. The class of words is closed under
+case, so texts are split as they are, and a word meets its term by its Unicode lower case, then exactly.
 
 Defined cases: null texts have no words; an item of fewer than ``n`` words, but not none, is one window; items without
 words match nothing; a null item_id is written as an empty string; repeated items count once by item_id; repeated
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.runtime import cut
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MAX_BROADCAST = 1 << 18
+SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+MAX_BROADCAST, SALTS = 1 << 18, 64
+#: What stands before a document's words, for an id and for none, and the terms of these: no word is empty or a space.
+_DOCUMENT, _NAMELESS = ("", -1), (" ", -2)
 
 
 def lowered(text: Column) -> Column:
@@ -35,13 +41,22 @@ def lowered(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(lowered(text), F.lit(f"({WORD})"), F.lit(1))
+    """The words as they are spelled."""
+    return F.array_remove(F.split(text, SEPARATOR), "")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= MAX_BROADCAST else df
 
 
+def _by_key(postings: DataFrame, df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Postings (with doc and pos) joined to ``df``, which has so many rows: by broadcast, or by key and salt."""
+    if rows <= MAX_BROADCAST:
+        return postings.join(F.broadcast(df), key)
+    salted = df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.withColumn("salt", F.pmod(F.hash("doc", "pos"), F.lit(SALTS))).join(salted, [key, "salt"]).drop("salt")
+
+
 def _doc(docs: DataFrame) -> Column:
     """doc_id, with the least long for null, so that null joins itself."""
     return F.coalesce(docs["doc_id"].cast("long"), F.lit(-(1 << 63)))
@@ -52,14 +67,9 @@ def _h(docs: DataFrame) -> Column:
     return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(docs["text"], F.lit("")).alias("text")
-    return docs.select(docs["doc_id"].alias("doc_id"), _doc(docs).alias("doc"), _h(docs).alias("h"), text)
-
-
 def item_windows(items: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Terms (word, term), windows (window, len, term, offset) and their items (window, item_id), with ids that stay."""
-    one = items.select(F.coalesce(items["item_id"].cast("string"), F.lit("")).alias("item_id"), words(items["text"]).alias("w")).where(F.size("w") > 0)
+    one = items.select(F.coalesce(items["item_id"].cast("string"), F.lit("")).alias("item_id"), words(lowered(items["text"])).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0)))
     spelled = one.select("item_id", F.explode(F.transform(starts, lambda s: F.array_join(F.slice("w", s + 1, n), " "))).alias("spelled")).distinct()
     ids = cut(spelled.select("spelled").distinct().coalesce(1).withColumn("window", F.monotonically_increasing_id()), "windows")
@@ -70,33 +80,46 @@ def item_windows(items: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFr
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings (term, doc, h, pos) of the given terms, written to the shared folder."""
-    tokens = _keys(docs).select("doc", "h", F.posexplode(words(F.col("text"))).alias("pos", "word"))
-    return cut(tokens.join(_small(terms, terms.count()), "word").select("term", "doc", "h", "pos"), "postings")
+    """Postings (term, doc, h, pos) of the given terms and of the documents, written to the shared folder."""
+    own = F.when(docs["doc_id"].isNull(), F.lit(_NAMELESS[0])).otherwise(F.lit(_DOCUMENT[0]))
+    split = docs.select(_doc(docs).alias("doc"), _h(docs).alias("h"), own.alias("own"), F.coalesce(words(docs["text"]), F.array().cast("array<string>")).alias("w"))
+    split = split.select("doc", "h", F.size("w").alias("n"), F.concat(F.array("own"), "w").alias("w"))
+    tokens = split.select("doc", "h", "n", F.posexplode("w").alias("pos", "word")).withColumn("key", F.lower("word"))
+    markers = docs.sparkSession.createDataFrame([_DOCUMENT, _NAMELESS], "spelled string, term long")
+    known = terms.select(F.col("word").alias("spelled"), "term").unionByName(markers).withColumn("key", F.lower("spelled"))
+    found = _by_key(tokens, known, "key", terms.count() + 2).where((F.col("word") == F.col("spelled")) | (lowered(F.col("word")) == F.col("spelled")))
+    return cut(found.select("term", "doc", "h", F.when(F.col("term") < 0, F.col("n")).otherwise(F.col("pos") - 1).alias("pos")), "postings")
+
+
+def _of_wanted(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The postings of documents that may be among the wanted ones."""
+    bucket = F.pmod(F.hash("doc", "h"), F.lit(MAX_BROADCAST or 1)).alias("bucket")
+    return postings.select("*", bucket).join(F.broadcast(wanted.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
 
 
 def match(postings: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     """Occurrences (window, len, doc, h, start): every term of the window within ``slop`` of its place."""
+    postings = postings.where("term >= 0")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     ranked = windows.join(frequency, "term").groupBy("window", "len").agg(F.sort_array(F.collect_list(F.struct("df", "term", "offset"))).alias("parts"))
     ranked = cut(ranked.where(F.size("parts") == F.col("len")), "ranked")
-    count = ranked.count()
+    count, in_all = ranked.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()  # windows, and their terms
     lead = ranked.select("window", F.col("parts")[0]["term"].alias("term"), F.col("parts")[0]["offset"].alias("offset"))
-    starts = postings.join(_small(lead, count), "term").select("window", "doc", "h", (F.col("pos") - F.col("offset")).alias("start")).where(f"start >= -{slop}")
+    starts = _by_key(postings, lead, "term", count).select("window", "doc", "h", (F.col("pos") - F.col("offset")).alias("start")).where(f"start >= -{slop}")
 
-    def near(wanted: DataFrame, terms: DataFrame) -> DataFrame:
+    def near(wanted: DataFrame, found: DataFrame, terms: DataFrame) -> DataFrame:
         """wanted with the postings of its terms at the places they should have."""
         shift = F.explode(F.sequence(F.lit(-slop), F.lit(slop))) if slop else F.lit(0)
         wanted = wanted.withColumn("shift", shift).withColumn("pos", F.col("start") + F.col("offset") + F.col("shift"))
-        found = postings.join(_small(terms.distinct(), count * 64), "term", "left_semi")
-        return wanted.join(found, ["doc", "h", "pos", "term"])
+        terms = cut(terms.distinct(), "terms")
+        return wanted.join(_by_key(found, terms, "term", terms.count()), ["doc", "h", "pos", "term"])
 
     second = ranked.where("len > 1").select("window", F.col("parts")[1]["term"].alias("term"), F.col("parts")[1]["offset"].alias("offset"))
-    thinned = near(starts.join(_small(second, count), "window"), second.select("term")).select("window", "doc", "h", "start").distinct()
+    thinned = near(starts.join(_small(second, count), "window"), postings, second.select("term")).select("window", "doc", "h", "start").distinct()
     thinned = cut(thinned, "thinned")
     rest = ranked.where("len > 2").select("window", "len", F.explode(F.slice("parts", 3, F.size("parts"))).alias("part"))
     rest = rest.select("window", "len", "part.term", "part.offset")
-    decided = near(thinned.join(_small(rest, count * 64), "window"), rest.select("term"))
+    decided = near(thinned.join(_small(rest, in_all), "window"), _of_wanted(postings, thinned), rest.select("term"))
     decided = decided.groupBy("window", "len", "doc", "h", "start").agg(F.count_distinct("offset").alias("n")).where("n = len - 2")
     kept = ["window", "len", "doc", "h", "start"]
     short = lambda df, n: df.join(_small(ranked.where(f"len = {n}").select("window", "len"), count), "window").select(*kept)
@@ -105,13 +128,14 @@ def match(postings: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 0) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    hits, found = _hits(docs, items, n, slop)
+    index, hits, found = _hits(docs, items, n, slop)
     places = hits.select("doc", "h", F.explode(F.sequence(F.greatest("start", F.lit(0)), F.col("start") + F.col("len") - 1)).alias("pos"))
     counts = places.distinct().groupBy("doc", "h").agg(F.count("*").alias("n_hit"))
     per = found.groupBy("doc", "h").agg(
         F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ","), 256).alias("items_sha256")
     )
-    rows = _keys(docs).select("doc_id", "doc", "h", F.regexp_count(lowered(F.col("text")), F.lit(WORD)).cast("long").alias("n_words"))
+    doc_id = F.when(F.col("term") == _DOCUMENT[1], F.col("doc")).cast(docs.schema["doc_id"].dataType)
+    rows = index.where("term < 0").select(doc_id.alias("doc_id"), "doc", "h", F.col("pos").cast("long").alias("n_words"))
     none = F.lit(0).cast("long")
     return rows.join(counts.join(per, ["doc", "h"]), ["doc", "h"], "left").select(
         "doc_id",
@@ -123,15 +147,16 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 0)
     )
 
 
-def _hits(docs: DataFrame, items: DataFrame, n: int, slop: int) -> tuple[DataFrame, DataFrame]:
-    """Occurrences, and the items (doc, h, item_id) they come from, once each."""
+def _hits(docs: DataFrame, items: DataFrame, n: int, slop: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The index, occurrences, and the items (doc, h, item_id) they come from, once each."""
     terms, windows, of_items = item_windows(items, n)
-    hits = cut(match(build_index(docs, terms), windows, slop), "matches")
-    return hits, hits.select("window", "doc", "h").distinct().join(of_items, "window").select("doc", "h", "item_id").distinct()
+    index = build_index(docs, terms)
+    hits = cut(match(index, windows, slop), "matches")
+    return index, hits, hits.select("window", "doc", "h").distinct().join(of_items, "window").select("doc", "h", "item_id").distinct()
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The documents that hold no window of any item, with all their columns."""
-    hits, _ = _hits(docs, items, n, 0)
+    hits = cut(_hits(docs, items, n, 0)[1].select("doc", "h").distinct(), "contaminated")
     rows = docs.select(F.struct("*").alias("row"), _doc(docs).alias("doc"), _h(docs).alias("h"))
-    return rows.join(hits.select("doc", "h").distinct(), ["doc", "h"], "left_anti").select("row.*")
+    return rows.join(_small(hits, hits.count()), ["doc", "h"], "left_anti").select("row.*")
