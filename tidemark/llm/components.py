@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import cut
+from tidemark.llm.runtime import cut, scope
 
 
 #: Up to so many edges (a few MB) one task joins them, after they have been counted; beyond it, all do, in rounds.
@@ -39,19 +39,26 @@ def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     Rounds are written to the shared folder, so a lost executor costs one round's tasks. The number of rounds grows
     with the logarithm of the longest path. A table counted to have at most ``few`` edges takes one task and no round.
     """
-    now = cut(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v").distinct(), "edges")
-    if now.count() <= few:
-        return cut(now.coalesce(1).mapInArrow(_joined, "node long, component long"), "components")
-    seen = None
-    while True:
-        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if seen == state:
-            break
-        seen = state
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
-        now = cut(small.distinct(), "edges")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+    with scope(edges.sparkSession) as keep:
+        now = cut(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u <> v").distinct(), "edges")
+        if now.count() <= few:
+            return keep(cut(now.coalesce(1).mapInArrow(_joined, "node long, component long"), "components"))
+        seen = None
+        while True:
+            state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+            if seen == state:
+                break
+            seen = state
+            with scope(edges.sparkSession) as keep_round:
+                now = keep_round(cut(_round(now), "edges"))
+        return keep(cut(now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct()), "components"))
+
+
+def _round(now: DataFrame) -> DataFrame:
+    """A large star, then a small one."""
+    both = now.union(now.select("v", "u"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    low = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
+    return small.distinct()
