@@ -28,7 +28,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.runtime import cut
+from tidemark.llm.runtime import cut, scope
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 MAX_BROADCAST, SALTS = 1 << 18, 64
@@ -76,7 +76,7 @@ def item_windows(items: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFr
     vocabulary = ids.select(F.explode(F.split("spelled", " ")).alias("word")).distinct().coalesce(1)
     terms = cut(vocabulary.withColumn("term", F.monotonically_increasing_id()), "terms")
     parts = ids.select("window", F.size(F.split("spelled", " ")).alias("len"), F.posexplode(F.split("spelled", " ")).alias("offset", "word"))
-    return terms, parts.join(terms, "word").select("window", "len", "term", "offset"), spelled.join(ids, "spelled").select("window", "item_id")
+    return terms, parts.join(_small(terms, terms.count()), "word").select("window", "len", "term", "offset"), spelled.join(ids, "spelled").select("window", "item_id")
 
 
 def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -85,7 +85,8 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     split = docs.select(_doc(docs).alias("doc"), _h(docs).alias("h"), own.alias("own"), F.coalesce(words(docs["text"]), F.array().cast("array<string>")).alias("w"))
     split = split.select("doc", "h", F.size("w").alias("n"), F.concat(F.array("own"), "w").alias("w"))
     tokens = split.select("doc", "h", "n", F.posexplode("w").alias("pos", "word")).withColumn("key", F.lower("word"))
-    markers = docs.sparkSession.createDataFrame([_DOCUMENT, _NAMELESS], "spelled string, term long")
+    pairs = F.array(*[F.struct(F.lit(w).alias("spelled"), F.lit(t).cast("long").alias("term")) for w, t in (_DOCUMENT, _NAMELESS)])
+    markers = docs.sparkSession.range(1).select(F.inline(pairs))
     known = terms.select(F.col("word").alias("spelled"), "term").unionByName(markers).withColumn("key", F.lower("spelled"))
     found = _by_key(tokens, known, "key", terms.count() + 2).where((F.col("word") == F.col("spelled")) | (lowered(F.col("word")) == F.col("spelled")))
     return cut(found.select("term", "doc", "h", F.when(F.col("term") < 0, F.col("n")).otherwise(F.col("pos") - 1).alias("pos")), "postings")
@@ -100,8 +101,8 @@ def _of_wanted(postings: DataFrame, wanted: DataFrame) -> DataFrame:
 def match(postings: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
     """Occurrences (window, len, doc, h, start): every term of the window within ``slop`` of its place."""
     postings = postings.where("term >= 0")
-    frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
-    ranked = windows.join(frequency, "term").groupBy("window", "len").agg(F.sort_array(F.collect_list(F.struct("df", "term", "offset"))).alias("parts"))
+    frequency = cut(postings.groupBy("term").agg(F.count("*").alias("df")), "frequency")
+    ranked = windows.join(_small(frequency, frequency.count()), "term").groupBy("window", "len").agg(F.sort_array(F.collect_list(F.struct("df", "term", "offset"))).alias("parts"))
     ranked = cut(ranked.where(F.size("parts") == F.col("len")), "ranked")
     count, in_all = ranked.agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()  # windows, and their terms
     lead = ranked.select("window", F.col("parts")[0]["term"].alias("term"), F.col("parts")[0]["offset"].alias("offset"))
@@ -128,7 +129,10 @@ def match(postings: DataFrame, windows: DataFrame, slop: int = 0) -> DataFrame:
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = 10, slop: int = 0) -> DataFrame:
     """A row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    index, hits, found = _hits(docs, items, n, slop)
+    with scope(docs.sparkSession) as keep:
+        index, hits, found = _hits(docs, items, n, slop)
+        keep(index, hits)
+        found = keep(cut(found, "found"))
     places = hits.select("doc", "h", F.explode(F.sequence(F.greatest("start", F.lit(0)), F.col("start") + F.col("len") - 1)).alias("pos"))
     counts = places.distinct().groupBy("doc", "h").agg(F.count("*").alias("n_hit"))
     per = found.groupBy("doc", "h").agg(
@@ -157,6 +161,7 @@ def _hits(docs: DataFrame, items: DataFrame, n: int, slop: int) -> tuple[DataFra
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """The documents that hold no window of any item, with all their columns."""
-    hits = cut(_hits(docs, items, n, 0)[1].select("doc", "h").distinct(), "contaminated")
+    with scope(docs.sparkSession) as keep:
+        hits = keep(cut(_hits(docs, items, n, 0)[1].select("doc", "h").distinct(), "contaminated"))
     rows = docs.select(F.struct("*").alias("row"), _doc(docs).alias("doc"), _h(docs).alias("h"))
     return rows.join(_small(hits, hits.count()), ["doc", "h"], "left_anti").select("row.*")

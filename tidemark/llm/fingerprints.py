@@ -104,7 +104,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     copies = rows.where(first).groupBy("bucket", "doc_id").agg(F.min("text").alias("text"))
     copies = copies.select(F.element_at(to, F.col("bucket")).alias("bucket"), "doc_id", "text", F.lit(1).alias("ahead"))
     both = rows.select("bucket", "doc_id", "text", F.lit(0).alias("ahead")).unionByName(copies)
-    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text")
+    return both.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "ahead", "doc_id", "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

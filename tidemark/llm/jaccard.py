@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
 from tidemark.llm.components import components
-from tidemark.llm.runtime import cut, shuffle_width
+from tidemark.llm.runtime import bucket_count, cut, scope
 
 U = np.uint64
 #: A shingle is very common if it is in more than this part of all documents; a chunk reports at half of that.
 COMMON = 0.01
 #: Longs of a set's signature; parts into which a group's chain is split, so that no group is one task's.
 LONGS, PARTS = 8, 16
+#: Up to so many documents that go (two numbers each) are counted and then broadcast, so that texts need no shuffle.
+FEW_GONE = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -125,7 +127,7 @@ def _split(key: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[dict
 
 
 def _deal(n: int, buckets: int, common: np.ndarray, counts: np.ndarray):
-    """Postings by range of hashes; very common shingles need no counting and go by owner, to buckets after those."""
+    """Postings by hash of the shingle; very common shingles need no counting and go by owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("owners", "sizes", "counts", "shingles", "ranks"))])
@@ -142,8 +144,8 @@ def _deal(n: int, buckets: int, common: np.ndarray, counts: np.ndarray):
                 often = common[at] == shingle if len(common) else np.zeros(len(shingle), dtype=bool)
                 rank = np.zeros(len(shingle), dtype=np.int64)
                 rank[often] = counts[at[often]] + (1 << 40) if often.any() else 0
-                key = np.where(often, buckets + (owner % U(buckets)).astype(np.int64), (shingle % U(buckets)).astype(np.int64))
-                yield pa.RecordBatch.from_pylist(list(_split(key, 2 * buckets, owner, size, shingle, rank)), schema=schema)
+                key = (np.where(often, owner, shingle) % U(buckets)).astype(np.int64)
+                yield pa.RecordBatch.from_pylist(list(_split(key, buckets, owner, size, shingle, rank)), schema=schema)
 
     return run
 
@@ -239,17 +241,25 @@ def linked(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -
 
     Pairs inside one component are not enumerated once it is known: the pairs are not all that link.
     """
+    with scope(docs.sparkSession) as keep:
+        scanned, links = _linked(docs, n, limit)
+        return keep(scanned).select("doc_id", "h", "n", "owner"), keep(links)
+
+
+def _linked(docs: DataFrame, n: int, limit: Threshold) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    buckets = 2 * shuffle_width(spark)
     text = docs["text"].alias("text")
     scanned = cut(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text, _text_hash(docs)).mapInArrow(_scan(n), "doc_id long, h long, n long, owner long, often binary"), "scan")
     often = scanned.where("often is not null").select("often").mapInArrow(_reported, "shingle long, sets long")
-    often = often.groupBy("shingle").agg(F.sum("sets").alias("sets")).where(F.col("sets") > COMMON * scanned.count())
+    often = often.groupBy("shingle").agg(F.sum("sets").alias("sets"))
+    documents, shingles = scanned.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    often = often.where(F.col("sets") > COMMON * documents)
     # at most (shingles of a document) / COMMON rows, however many documents there are
     common = sorted((np.int64(r["shingle"]).view(U), r["sets"]) for r in often.collect())
     ids, counts = np.array([c[0] for c in common], dtype=U), np.array([c[1] for c in common], dtype=np.int64)
-    dealt = docs.select(text).mapInArrow(_deal(n, buckets, ids, counts), _POSTINGS)
-    counted = dealt.groupBy("bucket").applyInArrow(_count(buckets), _POSTINGS)
+    buckets = bucket_count(spark, shingles, 16)
+    dealt = docs.select(text).mapInArrow(_deal(n, buckets, ids, counts), _POSTINGS).repartitionById(buckets, F.col("bucket"))
+    counted = dealt.groupBy("bucket").applyInArrow(_count(buckets), _POSTINGS).repartitionById(buckets, F.col("bucket"))
     sets = cut(counted.groupBy("bucket").applyInArrow(_assemble(limit), _SETS), "sets")
     marked = sets.select("owner", "n", F.size("shared").alias("o"), "bits", F.posexplode(F.slice("shared", 1, F.col("prefix"))).alias("i", "token"))
 
@@ -276,7 +286,7 @@ def linked(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100)) -
     marked = _spread(marked, links)
     met = _side(marked, "a").join(_side(marked, "b"), "token").where((F.col("a") < F.col("b")) & (F.col("ga") != F.col("gb")) & _may_link(limit))
     last = _verified(cut(met.select("a", "b").distinct(), "candidates"), sets, limit)
-    return scanned.select("doc_id", "h", "n", "owner"), cut(links.union(last), "links")
+    return scanned, cut(links.union(last), "links")
 
 
 def _text_hash(docs: DataFrame) -> Column:
@@ -285,12 +295,18 @@ def _text_hash(docs: DataFrame) -> Column:
 
 
 def _grouped(docs: DataFrame, n: int, limit: Threshold) -> DataFrame:
-    scanned, links = linked(docs, n, limit)
+    with scope(docs.sparkSession) as keep:
+        found = _linked(docs, n, limit)
+        keep(found[0])
+        return _members(*found, keep)
+
+
+def _members(scanned: DataFrame, links: DataFrame, keep) -> DataFrame:
     member = components(links)
     least = scanned.where("owner is not null").groupBy("owner").agg(F.min("doc_id").alias("least"))
     least = least.join(member, least["owner"] == member["node"], "left").select("owner", "least", F.coalesce("component", "owner").alias("component"))
     of = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = cut(least.join(of, "component").select(F.col("owner").alias("of_owner"), "component_id", "component"), "ids")
+    ids = keep(cut(least.join(of, "component").select(F.col("owner").alias("of_owner"), "component_id", "component"), "ids"))
     out = scanned.join(ids, scanned["owner"] == ids["of_owner"], "left")
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
@@ -306,13 +322,14 @@ def keep_one(docs: DataFrame, n: int = 5, limit: Threshold = Threshold(80, 100))
     Rows are told apart by id and text first. What goes is the smaller part, so the join is against that.
     """
     none = F.lit(-(1 << 63))
-    found = cut(_grouped(docs, n, limit).withColumn("id", F.coalesce("doc_id", none)), "grouped")
-    grouped = found.where("component is not null").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "id", "h").alias("own"))
-    best = grouped.groupBy("component").agg(F.min("own").alias("best"))
-    gone = grouped.distinct().join(best, "component").where("own <> best").select("own.id", "own.h")
+    with scope(docs.sparkSession) as keep:
+        found = cut(_grouped(docs, n, limit).withColumn("id", F.coalesce("doc_id", none)), "grouped")
+        grouped = found.where("component is not null").select("component", F.struct(F.col("doc_id").isNull().alias("none"), "id", "h").alias("own"))
+        best = grouped.groupBy("component").agg(F.min("own").alias("best"))
+        gone = keep(cut(grouped.distinct().join(best, "component").where("own <> best").select("own.id", "own.h"), "gone"))
+        twice = keep(cut(found.where("n_shingles > 0").groupBy("id", "h").count().where("count > 1").select("id", "h"), "twice"))
     rows = docs.select(F.struct("*").alias("row"), F.coalesce(docs["doc_id"].cast("long"), none).alias("id"), _text_hash(docs))
-    rows = rows.join(gone, ["id", "h"], "left_anti")
-    twice = cut(found.where("n_shingles > 0").groupBy("id", "h").count().where("count > 1").select("id", "h"), "twice")
+    rows = rows.join(F.broadcast(gone) if gone.count() <= FEW_GONE else gone, ["id", "h"], "left_anti")
     if twice.isEmpty():
         return rows.select("row.*")
     again = rows.join(twice, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
