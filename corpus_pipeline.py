@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontam, jaccard, mixing, secrets, toxicity
-from tidemark.llm.runtime import cut
+from tidemark.llm.runtime import cut, scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +52,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scope(spark) as keep:
+            docs = keep(cut(stage(spark, docs, sf_dir), f"stage-{name}"))
     return STAGES[-1][1](spark, docs, sf_dir)
