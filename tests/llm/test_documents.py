@@ -53,9 +53,22 @@ def test_token_counts(awkward):
     want = [(i, len((t or "").encode()), len(model.encode(t or "")), len(model.encode(t or "")) > 50) for i, t, _ in rows]
     assert plain(map(tuple, got.collect())) == plain(want)
     assert tokencount.count_tokens(docs.limit(0), path).count() == 0
-    odd = ["a  b", " a", "a ", "\n", " \n x", "a▁b ▁ c", "<s> </s> <unk>", "\t\r\n;\r", "12 345", "é́ 中文 🎉🎉", "a b"]
-    counter = tokencount.PieceCounter(path, kept=4)
-    assert counter.splits and counter.counts(odd).tolist() == [len(model.encode(t)) for t in odd]
+
+
+@pytest.mark.parametrize("common", [tokencount.MAX_ROWS, 40, 0])
+def test_token_counts_of_odd_characters(make_docs, common):
+    """Every control character, marks, NBSP and friends, whichever pre-tokens are broadcast."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    sentencepiece = pytest.importorskip("sentencepiece")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert tokencount.PieceCounter(path).splits
+    odd = ["a  b", " a", "a ", "\n", " \n x", "a▁b ▁ c", "<s> </s> <unk>", "\t\r\n;\r", "12 345", "é́ 中文 🎉🎉", "a b", "ab ab\0cdefgh x", "ab", "\0", "\n\n", "  ", "▁\n▁", " ▁ "]
+    rng = random.Random(1)
+    signs = [*map(chr, range(33)), "\x7f", "\x85", "\xa0", "\u200b", "\ufeff", "▁", "▁", " ", " ", " ", "a", "b", "ab", "é", "<s>"]
+    odd += ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 30))) for _ in range(400)]
+    got = tokencount.count_tokens(make_docs([(i, t, "s") for i, t in enumerate(odd)]), path, max_rows=common).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == [(i, len(t.encode()), len(model.encode(t))) for i, t in enumerate(odd)]
 
 
 # op5

@@ -1,13 +1,19 @@
-"""Token counts of a sentencepiece model: pieces counted once per distinct pre-token, then summed by document.
+r"""Token counts of a sentencepiece model: pieces counted once per distinct pre-token, joined to frequencies by document.
 
-A pre-token is a run of word marks with the text up to the next mark, or a line feed. No piece of the model
-reaches over such a border (checked against its vocabulary when it is loaded), so a document's count is the sum
-over its pre-tokens of (frequency x pieces), and no document is ever encoded. Distinct pre-tokens are taken per
-Arrow chunk and kept between chunks in a table of bounded size, so the join needs no shuffle and memory does not
-grow with the corpus.
+A pre-token is a run of word marks with the text up to the next mark, or a line feed. No piece of the model reaches over
+such a border (checked against its vocabulary when it is loaded), so a document's count is the sum over its pre-tokens of
+frequency x pieces, and no document is ever encoded.
 
-Defined cases: a null or empty text has 0 bytes and 0 tokens; very long texts and very long words count whole;
-repeated rows each have a row; other columns are not read.
+  pieces   the corpus's distinct pre-tokens with their frequency (partial counts before the shuffle); each is encoded once
+  common   the most frequent pre-tokens, as many as ``MAX_ROWS`` rows and ``MAX_BYTES`` bytes allow, are broadcast
+  rest     what is left of a document are rows (document, pre-token, frequency) that are shuffled to their pieces; their
+           pre-tokens are the rare ones, so no key is hot
+
+Rows of one id and one text are one document until the end, where each row comes out again.
+
+Defined cases: a null or empty text has 0 bytes and 0 tokens; very long texts and very long words count whole; control
+characters, U+0000 too, are characters like any other; repeated rows each have a row; empty tables give no rows; other
+columns are not read. A model with pieces over borders encodes every text whole.
 """
 
 from __future__ import annotations
@@ -17,75 +23,110 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
+from tidemark.llm.runtime import cut, scope
 
 MARK = "▁"
-_UNIT = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
-KEPT = 300_000
+#: Where pre-tokens end: before and after a line feed, and before a mark (or the space it stands for) after anything else.
+BORDER = rf"(?=\n)|(?<=\n)|(?<=[^ {MARK}\n])(?=[ {MARK}])"
+MAX_ROWS, MAX_BYTES = 1 << 18, 1 << 24
 
 
 class PieceCounter:
-    """Counts pieces per pre-token with the model at ``path``; ``kept`` bounds the table of known pre-tokens."""
+    """Counts the pieces of pre-tokens, each with its marks as marks or spaces, with the model at ``path``."""
 
-    def __init__(self, path: str, kept: int = KEPT) -> None:
+    def __init__(self, path: str) -> None:
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.kept, self.known = kept, {}
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.model = model = sentencepiece.SentencePieceProcessor(model_file=path)
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
         crossing = [p for p in pieces if re.search(f"[^{MARK}]{MARK}", p) or ("\n" in p and len(p) > 1)]
-        self.splits = not crossing and self.model.encode(f"a  b\n c") == self.model.encode("a") + self.model.encode("\n" + MARK)[2:] + self.model.encode("b") + self.model.encode("\n")[1:] + self.model.encode("c")
+        self.splits = not crossing and model.encode("a  b\n c") == model.encode("a") + model.encode("\n" + MARK)[2:] + model.encode("b") + model.encode("\n")[1:] + model.encode("c")
 
-    def _encode(self, units: list[str]) -> list[int]:
+    def pieces(self, units: list[str]) -> list[int]:
         # the model itself puts one mark before a text; a line feed before the unit shields those without
-        marked = [len(u) > 1 and u[0] == MARK for u in units]
+        marked = [len(u) > 1 and u[0] in (MARK, " ") for u in units]
         got = self.model.encode([u[1:] if m else "\n" + u for u, m in zip(units, marked)], num_threads=1)
         return [len(g) - (0 if m else 2) for g, m in zip(got, marked)]
 
-    def counts(self, texts: list[str]) -> np.ndarray:
-        if not self.splits:
-            return np.array([len(self.model.encode(t)) for t in texts], dtype=np.int64)
-        units, ends = [], []
-        for t in texts:
-            if t:
-                units += _UNIT.findall(MARK + t.replace(" ", MARK))
-            ends.append(len(units))
-        sums = np.zeros(len(units) + 1, dtype=np.int64)
-        if units:
-            codes, distinct = pd.factorize(np.array(units, dtype=object))
-            new = [u for u in distinct if u not in self.known]
-            if len(self.known) + len(new) > self.kept:
-                self.known, new = {}, list(distinct)
-            self.known.update(zip(new, self._encode(new)))
-            per = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-            np.cumsum(per[codes], out=sums[1:])
-        ends = np.array([0, *ends])
-        return sums[ends[1:]] - sums[ends[:-1]]
-
 
 @cache
 def _counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
-def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_tokens, over_limit), one for each row of ``docs``."""
+def _encoder(path: str):
+    """Rows (unit, times) with the unit's pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in tokens.chunks(batch.column(0)):
+                part = batch.slice(a, b - a)
+                n = pa.array(_counter(path).pieces(part.column(0).to_pylist()), type=pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns, n], names=["unit", "times", "pieces"])
+
+    return run
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(model_path)
+
+def units(text: Column) -> Column:
+    """A text's pre-tokens in order, those of an empty text too: the model puts a mark before it, but drops that of nothing."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.array_remove(F.split(F.concat(F.lit(" "), text), BORDER), ""))
+
+
+def _common_from(pieces: DataFrame, max_rows: int, max_bytes: int) -> int:
+    """The least power of two such that the pre-tokens that are as frequent or more stay within both bounds."""
+    power = F.floor(F.log2("times")).cast("int").alias("power")
+    sizes = pieces.groupBy(power).agg(F.count("*").alias("n"), F.sum(F.octet_length("unit") + 32).alias("size")).collect()  # a row a power
+    least, rows, held = 64, 0, 0
+    for power, n, size in sorted(sizes, reverse=True):
+        rows, held = rows + n, held + size
+        if rows > max_rows or held > max_bytes:
+            break
+        least = power
+    return 1 << min(least, 62)
+
+
+def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Rows (doc_id, n_bytes, n_tokens, over_limit), one for each row of ``docs``."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(docs["doc_id"].alias("doc_id"), F.xxhash64(text).alias("h"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    counted = _joined(rows, model_path, max_rows, max_bytes) if _counter(model_path).splits else _whole(rows, model_path)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def _joined(rows: DataFrame, model_path: str, max_rows: int, max_bytes: int) -> DataFrame:
+    key = ["doc_id", "h", "n_bytes"]
+    with scope(rows.sparkSession) as keep:
+        frequency = rows.select(F.explode(units(F.col("text"))).alias("unit")).groupBy("unit").agg(F.count("*").alias("times"))
+        pieces = cut(frequency.mapInArrow(_encoder(model_path), "unit string, times long, pieces long"), "pieces")
+        from_ = _common_from(pieces, max_rows, max_bytes)
+        own = rows.sparkSession.range(1).select(F.lit("").alias("unit"), F.lit(0).cast("long").alias("pieces"))  # a row's own: no pre-token is empty
+        common = own.union(pieces.where(F.col("times") >= from_).select("unit", "pieces"))
+        each = rows.select(*key, F.explode(F.concat(F.array(F.lit("")), units(F.col("text")))).alias("unit"))
+        per = each.join(F.broadcast(common), "unit", "left").groupBy(*key, F.when(F.col("pieces").isNull(), F.col("unit")).alias("rare"))
+        per = cut(per.agg(F.sum("pieces").alias("n"), F.count("*").alias("times"), F.count(F.when(F.col("unit") == "", 1)).alias("copies")), "frequencies")
+        rare = pieces.where(F.col("times") < from_).select(F.col("unit").alias("rare"), "pieces")
+        rare = per.where("rare is not null").join(rare, "rare").select(*key, (F.col("times") * F.col("pieces")).alias("n"), F.lit(0).cast("long").alias("copies"))
+        total = per.where("rare is null").select(*key, "n", "copies").union(rare).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+        total = keep(cut(total, "token-counts"))
+    # equal rows have been counted together
+    return total.select("doc_id", "n_bytes", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+
+
+def _whole(rows: DataFrame, model_path: str) -> DataFrame:
+    """The same by encoding each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _counter(model_path).model
         for batch in batches:
-            text = batch.column(1)
-            _, offsets = tokens.text_buffers(text)
-            n = [counter.counts([t or "" for t in text[a : b].to_pylist()]) for a, b in tokens.chunks(text)]
-            n = np.concatenate(n) if n else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)],
-                names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+            for a, b in tokens.chunks(batch.column(2)):
+                part = batch.slice(a, b - a)
+                n = np.array([len(model.encode(t)) for t in part.column(2).to_pylist()], dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.select("doc_id", "n_bytes", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long")
