@@ -3,12 +3,13 @@
 Features are hashed words and their first few bytes, present or absent in a document. One weight vector is shared by
 all thresholds: P(grade > k) = sigmoid(w.x - t_k), t_0 < t_1 < ... The expected severity is the sum of these over k.
 
-The model is fitted on the driver, on at most ``MAX_TRAIN`` labelled rows (those least by a hash of their id) with at
-most ``MAX_FEATURES`` features, so what is collected and sent out has a bound that does not depend on the corpus.
-Scoring is one pass over the documents without a shuffle.
+The model is fitted on the driver, on at most ``MAX_TRAIN`` labelled rows (those least by a hash of their id; of several
+documents of one id the one of the least text hash) with at most ``MAX_FEATURES`` features. Features are counted and chosen in
+the cluster; a row comes to the driver as the numbers of its chosen features, two bytes each, so neither the corpus nor the
+length of texts decides what is collected and sent out. Scoring is one pass over the documents without a shuffle.
 
 Labels that only say toxic or not are graded first: 0 for clean documents; toxic ones 1, or 2 if they hold more than
-the median number of features that are far more frequent in toxic documents than in clean ones.
+the median number of chosen features that are far more frequent in toxic documents than in clean ones.
 
 Defined cases: null and empty texts have no features and the least severity; rows with a null id or null label are not
 trained on; without labels of both kinds every severity is 0; repeated rows are scored alike; very long texts are read
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import tokens
+from tidemark.llm.runtime import cut, scope
 
 MAX_TRAIN, MAX_FEATURES, BITS = 8000, 50_000, 22
 PREFIXES = (4, 5, 6, 7, 8)
@@ -77,46 +79,37 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def log_odds(rows: list[np.ndarray], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of two rows or more, with the log ratio of their odds in toxic and in clean documents, and its standard
-    error. Counted row by row in tables of all features, so the rows are never copied together."""
-    counts = np.zeros((2, 1 << BITS), dtype=np.int32)
-    for r, t in zip(rows, toxic):
-        counts[int(t), r] += 1
-    ids = np.flatnonzero(counts.sum(axis=0) > 1).astype(np.int32)
-    n1, n0 = int(toxic.sum()), int((~toxic).sum())
-    a, b = counts[1, ids] + 0.5, counts[0, ids] + 0.5
-    return ids, np.log(a / (n1 + 1 - a)) - np.log(b / (n0 + 1 - b)), np.sqrt(1 / a + 1 / b)
-
-
 def _among(ids: np.ndarray) -> np.ndarray:
     table = np.zeros(1 << BITS, dtype=bool)
     table[ids] = True
     return table
 
 
-def grade(rows: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """0 for clean, 1 or 2 for toxic documents by how many strong features they hold."""
-    ids, odds, _ = log_odds(rows, toxic)
-    strong = _among(ids[odds > STRONG])
-    hits = np.array([np.count_nonzero(strong[r]) for r in rows])
-    return np.where(toxic, 1 + (hits > np.median(hits[toxic])), 0)
-
-
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 400, decay: float = 1e-4, max_features: int = MAX_FEATURES) -> OrdinalModel:
-    """Cumulative-link regression by full-batch Adam. rows: the distinct features of each document."""
-    none = OrdinalModel(np.zeros(0, dtype=np.int32), np.zeros(0), np.zeros(0))
-    if not len(rows) or grades.min() == grades.max():
-        return none
-    ids, odds, error = log_odds(rows, grades > grades.min())
-    strength = np.abs(odds) / error
-    chosen = np.sort(np.argsort(-strength, kind="stable")[: min(max_features, int((strength > 2.0).sum()))])
-    ids = ids[chosen]
-    if not len(ids):
-        return none
-    used = _among(ids)
-    kept = [r[used[r]] for r in rows]
-    row, col = np.repeat(np.arange(len(rows)), [len(r) for r in kept]), np.searchsorted(ids, np.concatenate(kept))
+@dataclass(frozen=True)
+class Sample:
+    """Labelled documents by their chosen features: ``ids`` ascending with their log odds, row i's are codes[bounds[i] : bounds[i + 1]]."""
+
+    ids: np.ndarray
+    odds: np.ndarray
+    codes: np.ndarray
+    bounds: np.ndarray
+    toxic: np.ndarray
+
+    def grades(self) -> np.ndarray:
+        """0 for clean, 1 or 2 for toxic documents by how many strong features they hold."""
+        if not self.toxic.any():
+            return self.toxic.astype(int)
+        strong = np.concatenate(([0], np.cumsum(self.odds[self.codes] > STRONG)))
+        hits = strong[self.bounds[1:]] - strong[self.bounds[:-1]]
+        return np.where(self.toxic, 1 + (hits > np.median(hits[self.toxic])), 0)
+
+
+def fit(sample: Sample, grades: np.ndarray, steps: int = 400, decay: float = 1e-4) -> OrdinalModel:
+    """Cumulative-link regression by full-batch Adam."""
+    ids, rows = sample.ids, len(grades)
+    if not rows or grades.min() == grades.max() or not len(ids):
+        return OrdinalModel(np.zeros(0, dtype=np.int32), np.zeros(0), np.zeros(0))
+    row, col = np.repeat(np.arange(rows), np.diff(sample.bounds)), sample.codes
     top = int(grades.max())
     at = np.zeros(len(ids) + top)  # weights, then the first threshold and the logs of the gaps to the others
     at[len(ids)] = 1.0
@@ -124,12 +117,12 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 400, decay: flo
     for step in range(1, steps + 1):
         w, first, gaps = at[: len(ids)], at[len(ids)], np.exp(at[len(ids) + 1 :])
         bounds = np.concatenate(([-np.inf], first + np.concatenate(([0.0], np.cumsum(gaps))), [np.inf]))
-        x = np.bincount(row, w[col], minlength=len(rows))
+        x = np.bincount(row, w[col], minlength=rows)
         above, below = _sigmoid(x - bounds[grades]), _sigmoid(x - bounds[grades + 1])  # P(grade >= own), P(grade > own)
         p = np.maximum(above - below, 1e-12)
         up, down = above * (1 - above) / p, below * (1 - below) / p
-        by_x = -(up - down) / len(rows)
-        by_bound = np.bincount(grades, up, minlength=top + 1)[1:] / len(rows) - np.bincount(grades, down, minlength=top + 1)[:-1] / len(rows)
+        by_x = -(up - down) / rows
+        by_bound = np.bincount(grades, up, minlength=top + 1)[1:] / rows - np.bincount(grades, down, minlength=top + 1)[:-1] / rows
         later = np.cumsum(by_bound[::-1])[::-1]
         g = np.concatenate((np.bincount(col, by_x[row], minlength=len(ids)) + decay * w, [later[0]], later[1:] * gaps))
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -138,32 +131,62 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 400, decay: flo
     return OrdinalModel(ids, at[: len(ids)], thresholds)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct features and label (toxic or not) of at most ``max_train`` labelled documents, in a fixed order."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, toxic, text) to (id, toxic, features): each text's distinct features."""
+    for batch in batches:
+        for a, b in tokens.chunks(batch.column(2)):
+            part = batch.slice(a, b - a)
+            row, found = features(part.column(2))
+            pairs = np.unique(row.astype(np.int64) << BITS | found)
+            ends = np.searchsorted(pairs, np.arange(b - a + 1) << BITS).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array((pairs & ((1 << BITS) - 1)).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["id", "toxic", "features"])
+
+
+def _coded(ids: np.ndarray):
+    """Rows (id, toxic, features) to the numbers of those features that are among ``ids``."""
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in tokens.chunks(batch.column(2)):
-                part = batch.slice(a, b - a)
-                row, found = features(part.column(2))
-                pairs = np.unique(row.astype(np.int64) << BITS | found)
-                ends = np.searchsorted(pairs, np.arange(1, b - a) << BITS)
-                lists = [x.astype(np.int32).tobytes() for x in np.split(pairs & ((1 << BITS) - 1), ends)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, type=pa.binary())], names=["id", "toxic", "features"])
-
-    rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).dropna()
+            found = [np.array(x, dtype=np.int32) for x in batch.column(2).to_pylist()]
+            codes = [np.searchsorted(ids, x[np.isin(x, ids)]).astype("<u2").tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes, type=pa.binary())], names=["id", "toxic", "codes"])
+
+    return run
+
+
+def training_sample(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Sample:
+    """At most ``max_train`` labelled documents with the ``max_features`` features that tell toxic from clean best.
+
+    A feature counts if it is in two rows or more and its log odds ratio is over two standard errors from 0.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("id"), (F.col("toxic").cast("int") > 0).alias("toxic")).dropna().distinct()
     rows = rows.orderBy(F.xxhash64("id"), "id", "toxic").limit(max_train)
-    text = docs.select(docs["doc_id"].cast("long").alias("doc"), docs["text"].alias("text"))
-    # the sample is at most max_train rows of two numbers
-    joined = text.join(F.broadcast(rows), text["doc"] == rows["id"]).select("id", "toxic", "text")
-    got = joined.mapInArrow(distinct, "id long, toxic int, features binary").limit(max_train).collect()
-    got.sort()  # ids of several rows may bring more than max_train; which of those stay is of no matter
-    return [np.frombuffer(r["features"], dtype=np.int32) for r in got], np.array([r["toxic"] > 0 for r in got], dtype=bool)
+    text = docs.select(docs["doc_id"].cast("long").alias("doc"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+    # the sample is at most max_train rows of two values
+    joined = text.join(F.broadcast(rows), text["doc"] == rows["id"])
+    one = joined.groupBy("id", "toxic").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
+    with scope(docs.sparkSession):
+        held = cut(one.select("id", "toxic", "text").mapInArrow(_packed, "id long, toxic boolean, features array<int>"), "labelled")
+        sizes = {r["toxic"]: r["count"] for r in held.groupBy("toxic").count().collect()}
+        n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
+        counts = held.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.count(F.when(F.col("toxic"), 1)).alias("k1"), F.count("*").alias("k"))
+        a, b = F.col("k1") + 0.5, F.col("k") - F.col("k1") + 0.5
+        odds = F.log(a / (n1 + 1 - a)) - F.log(b / (n0 + 1 - b))
+        judged = counts.where("k > 1").select("feature", odds.alias("odds"), (F.abs(odds) / F.sqrt(1 / a + 1 / b)).alias("strength")).where("strength > 2")
+        chosen = cut(judged.orderBy(F.desc("strength"), "feature").limit(min(max_features, 1 << 16)).select("feature", "odds"), "features").toArrow()
+        order = np.argsort(chosen["feature"].to_numpy())
+        ids = chosen["feature"].to_numpy()[order].astype(np.int32)
+        got = held.mapInArrow(_coded(ids), "id long, toxic boolean, codes binary").toArrow().sort_by([("id", "ascending"), ("toxic", "ascending")])
+    codes = [np.frombuffer(x, dtype="<u2") for x in got["codes"].to_pylist()]
+    bounds = np.concatenate(([0], np.cumsum([len(c) for c in codes]))).astype(np.int64)
+    flat = np.concatenate(codes).astype(np.int64) if codes else np.zeros(0, dtype=np.int64)
+    return Sample(ids, chosen["odds"].to_numpy()[order], flat, bounds, np.array(got["toxic"].to_pylist(), dtype=bool))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> OrdinalModel:
-    rows, toxic = training_rows(docs, labels, max_train)
-    return fit(rows, grade(rows, toxic) if toxic.any() and not toxic.all() else toxic.astype(int))
+    sample = training_sample(docs, labels, max_train)
+    return fit(sample, sample.grades())
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
