@@ -34,7 +34,8 @@ FROM d LEFT JOIN m ON d.payload_digest = m.payload_digest
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.findings(_table(spark, sf_dir, "documents"), secrets.Forest(secrets.labelled_findings(spark)))
+    docs = _table(spark, sf_dir, "documents")
+    return secrets.findings(docs, secrets.Forest(secrets.labelled_findings(spark), dictionary=secrets.corpus_dictionary(docs)))
 
 
 def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
