@@ -29,7 +29,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Values that the forest takes for secrets are replaced in the text; every document stays."""
-    return secrets.redact(docs, secrets.Forest(secrets.labelled_findings(spark)))
+    return secrets.redact(docs, secrets.Forest(secrets.labelled_findings(spark), dictionary=secrets.corpus_dictionary(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
