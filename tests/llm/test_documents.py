@@ -373,6 +373,38 @@ def test_passages_inside_copies(make_docs):
     assert got == inside | {(5, 0, 269, 5, 1), (6, 0, 269, 5, 1), (3, 0, 59, 3, 2), (4, 0, 59, 4, 2)}
 
 
+def edited(rng, w, edits, even):
+    """w with so many words changed, evenly spaced or anywhere."""
+    w, n = list(w), len(w)
+    for i in [(k + 1) * n // (edits + 1) for k in range(edits)] if even else rng.sample(range(n), edits):
+        w[i] = f"e{rng.randrange(10**9)}"
+    return w
+
+
+def test_near_duplicate_passages_are_found(make_docs):
+    """Recall at a similarity of 0.8 or more, by length of the passage, number of edits and where these are; no pair is found twice."""
+    rng, rows, truth = random.Random(31), [], {}
+    for n, edits, even in [(60, 0, True), (60, 1, True), (70, 1, True), (80, 1, True), (100, 2, True), (200, 4, True), (400, 8, True), (120, 1, False), (120, 2, False), (200, 3, False)]:
+        for _ in range(12):
+            one = made_up(rng, n)
+            two = edited(rng, one, edits, even)
+            a, b = (set(zip(*(x[k:] for k in range(5)))) for x in (one, two))
+            if len(a & b) >= 0.8 * len(a | b):
+                i, at = len(rows), [rng.randrange(60, 120) for _ in (0, 1)]
+                rows += [(i + k, " ".join(made_up(rng, at[k]) + x + made_up(rng, 90)), "s") for k, x in enumerate((one, two))]
+                truth[i] = (n, edits, even), at, n
+    got = defaultdict(list)
+    for r in passages.repeated_passages(make_docs(rows)).collect():
+        got[r.doc_id].append(r)
+    found, total = Counter(), Counter()
+    for i, (kind, at, n) in truth.items():
+        total[kind] += 1
+        covered = [sum(max(0, min(r.last_word, at[k] + n - 1) - max(r.first_word, at[k]) + 1) for r in got[i + k] if r.class_id == i) for k in (0, 1)]
+        found[kind] += min(covered) >= 0.8 * n
+    assert all(found[k] >= 0.8 * total[k] for k in total) and sum(found.values()) >= 0.95 * sum(total.values()), (found, total)
+    assert set(got) <= {i + k for i in truth for k in (0, 1)}
+
+
 def test_passage_verification():
     rng = np.random.default_rng(1)
     p, q = rng.integers(0, 1 << 30, 300, dtype=np.uint32), rng.integers(0, 1 << 30, 400, dtype=np.uint32)
