@@ -32,7 +32,7 @@ from tidemark.llm.runtime import cut, scope
 
 MARK = "▁"
 #: Where pre-tokens end: before and after a line feed, and before a mark (or the space it stands for) after anything else.
-BORDER = rf"(?=\n)|(?<=\n)|(?<=[^ {MARK}\n])(?=[ {MARK}])"
+BORDER = rf"(?=[ {MARK}\n])(?:(?=\n)|(?<![ {MARK}\n]))|(?<=\n)"
 MAX_ROWS, MAX_BYTES = 1 << 18, 1 << 24
 
 
