@@ -137,3 +137,11 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray
         at = np.minimum(start + j, len(hashes) - 1)
         out = out * U(_BASE) + np.where(j < room, hashes[at], U(0))
     return mix(out ^ room.astype(U)), out_bounds
+
+
+def runs(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n values from each place on, read off prefix sums of a polynomial."""
+    up, down = _POWERS.upto(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=U)
+    np.cumsum(values * up[: len(values)], out=sums[1:])
+    return mix((sums[at + n] - sums[at]) * down[at])
