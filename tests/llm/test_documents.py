@@ -74,6 +74,26 @@ def test_token_counts_of_odd_characters(make_docs, common):
 # op5
 
 
+def plain_values(text, bins=fingerprints.BINS):
+    """The 4-bit values of a text, empty where it has no words: one shingle, one bin at a time."""
+    hashed = set(tokens.shingles(*tokens.word_hashes(pa.array([text])), fingerprints.WORDS)[0].tolist())
+    least = {}
+    for h in hashed:
+        least[h >> 55] = min(least.get(h >> 55, 1 << 64), h & (1 << 55) - 1)
+    orders, out = fingerprints._orders(bins), []
+    for i in range(bins if least else 0):
+        value = least[i] if i in least else least[min(least, key=lambda j: orders[i, j])]
+        salt = int(tokens.mix(np.array([i + 1], dtype=np.uint64))[0])
+        out.append(int(tokens.mix(np.array([value ^ salt], dtype=np.uint64))[0]) & 15)
+    return out
+
+
+def plain_likeness(a, b):
+    if not a or not b:
+        return float(a == b)
+    return max(0.0, (sum(x == y for x, y in zip(a, b)) / len(a) - 1 / 16) / (15 / 16))
+
+
 def test_fingerprints(awkward):
     docs, rows = awkward
     got = fingerprints.fingerprint_with_neighbours(docs).collect()
@@ -91,6 +111,17 @@ def test_fingerprints(awkward):
         if r.doc_id is not None and r.doc_id < 300:
             by_text[next(t or "" for (i, _), t in texts.items() if i == r.doc_id)].add(r.fingerprint)
     assert all(len(v) == 1 for v in by_text.values())
+    # every value of every fingerprint, a shingle and a bin at a time; and the likenesses that follow from them
+    known = {hashlib.sha256((t or "").encode()).hexdigest(): plain_values(t or "") for _, t, _ in rows if len(t or "") < 5000}
+    printed = {i: r for i, r in ((r.doc_id, r) for r in got) if i is not None and i < 300}
+    for k, (i, t) in enumerate(ordered):
+        after, half = ordered[(k + 1) % len(ordered)][1], len(t) // 2
+        if i in printed and len(t) < 5000 and len(after) < 5000:
+            own, edited, other = plain_values(t), plain_values(t[: len(t) - half] + after[:half]), plain_values(after)
+            r = printed[i]
+            assert [r.fingerprint, r.edited_fingerprint] == ["".join(f"{x:x}" for x in v) for v in (own, edited)]
+            assert (r.near_edited, r.near_next) == (pytest.approx(plain_likeness(own, edited)), pytest.approx(plain_likeness(own, other)))
+    assert known
     assert fingerprints.fingerprint_with_neighbours(docs.limit(0)).count() == 0
     [one] = fingerprints.fingerprint_with_neighbours(docs.where("doc_id = 100")).collect()
     assert one.near_next == 1.0
@@ -287,6 +318,17 @@ def test_contamination(awkward, make_docs, spark):
     assert decontam.contamination(docs, table.limit(0)).where("contaminated").count() == 0
 
 
+def test_contamination_beyond_what_is_broadcast(awkward, spark, monkeypatch):
+    """The same result when postings meet vocabulary and windows by key and salt."""
+    docs, rows = awkward
+    docs, rows = docs.where("doc_id < 140 or doc_id is null"), [r for r in rows if r[0] is None or r[0] < 140]
+    w = next(t for i, t, _ in rows if i == 100).split()
+    items = [(1, " ".join(w[50:75])), (2, "lonely, WORDS!"), (3, "nobody"), (4, None)]
+    monkeypatch.setattr(decontam, "MAX_BROADCAST", 0)
+    got = decontam.contamination(docs, spark.createDataFrame(items, "item_id long, text string"), 10)
+    assert plain(map(tuple, got.collect())) == plain(contaminated_by_hand(rows, items, 10))
+
+
 def test_proximity(make_docs, spark):
     items = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = make_docs([(1, "x alpha beta y gamma delta", "s"), (2, "alpha a b c d e beta gamma delta", "s"), (3, "alpha beta gamma delta", "s")])

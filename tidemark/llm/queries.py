@@ -58,6 +58,18 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(chat.format_chats(rows.unionByName(extra)))
 
 
+OP6_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, t, r, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(t, r)),
+s AS (SELECT *, regexp_replace(role, '([\\:])', '\\\1', 'g') AS shown_role, replace(replace(replace(text, '\', '\\'), '</turn>', '\</turn>'), '### ', '\### ') AS shown FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(shown_role) + length(shown) + length('### : </turn>') + 1)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -136,4 +148,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_tokens": op10_tokens,
 }
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op7_mixing": OP7_SQL, "op8_jaccard": OP8_SQL, "op9_decontamination": OP9_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op6_chat": OP6_SQL, "op7_mixing": OP7_SQL, "op8_jaccard": OP8_SQL, "op9_decontamination": OP9_SQL}
