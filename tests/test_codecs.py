@@ -94,9 +94,9 @@ def test_xor_fixed_cases():
     assert xor.encode([]) == b"\x00\x00"
     constant = samples((i * 1000, 42.0) for i in range(100))
     assert len(xor.encode(constant)) < 64
-    irregular = samples(zip((0, 1000, 2000, 3050, 4200, 5500, 7000000500, 7000001600), (1, 1, 1, 2, 2, 2.0001, 3, 3)))
-    negative = samples((t, 10.0) for t in (0, 1000, 2500, 3700, 4600))
-    for s in (constant, irregular, negative):
+    growing = samples((15 * i + i**k, 0.5 * (i // 3)) for i, k in ((i, 6 if i > 4 else 2) for i in range(12)))
+    falling = samples((60_000 * i - 90 * i * i, 7.25 - i % 2) for i in range(20))
+    for s in (constant, growing, falling):
         assert list(xor.decode(xor.encode(s))) == s
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,14 +8,12 @@ from tidemark.model import Matcher, all_of, labels_from_entries, labels_hash, la
 from tidemark.operators import blocks, chunks, head, index, select
 from tidemark.operators.querier import Querier
 
-UP, REQ = "up", "requests"
-FIVE = [
-    ({"__name__": UP, "job": "api"}, [[(0, 1.0), (30, 1.0)], [(100, 1.0), (200, 1.0)]]),
-    ({"__name__": UP, "job": "web"}, [[(0, 0.0), (200, 1.0)]]),
-    ({"__name__": REQ, "job": "api"}, [[(0, 5.0), (100, 7.0)]]),
-    ({"__name__": REQ, "job": "web"}, [[(300, 1.0), (400, 2.0)]]),
-    ({"__name__": REQ}, [[(0, 11.0), (100, 13.0)]]),
-]
+# three metrics by zone and host, with absent and empty labels; series i has 1 to 3 chunks of two samples, 70 ms apart
+NAMED = [
+    {k: v for k, v in (("__name__", name), ("zone", zone), ("host", host)) if v is not None}
+    for name in ("temp", "load", "fan_speed") for zone in (None, "north", "northeast", "") for host in (None, "h7")
+]
+SERIES = [(labels, [[(1000 * i + 70 * j, i / 4), (1000 * i + 70 * j + 45, float(j))] for j in range(i % 3 + 1)]) for i, labels in enumerate(NAMED)]
 ALL = (-(1 << 62), 1 << 62)
 eq, neq, re_, nre = Matcher.equal, Matcher.not_equal, Matcher.regex, Matcher.not_regex
 
@@ -24,43 +24,67 @@ def chunk_rows(spark, series):
 
 
 @pytest.fixture(scope="module")
-def five(spark):
-    return chunk_rows(spark, FIVE).cache()
+def stored(spark):
+    return chunk_rows(spark, SERIES).cache()
+
+
+def by_hand(matchers, mint, maxt):
+    """(labels, chunk) of what the matchers and the range let through, one series at a time."""
+
+    def accepts(m, labels):
+        value = labels.get(m.name, "")
+        return (value == m.value) if m.kind == "=" else (value != m.value) if m.kind == "!=" else (re.fullmatch(m.value, value) is not None) == (m.kind == "=~")
 
+    return {
+        (",".join(f"{k}={v}" for k, v in sorted(labels.items())), i)
+        for labels, cs in SERIES if all(accepts(m, labels) for m in matchers) for i, c in enumerate(cs) if c[0][0] <= maxt and c[-1][0] >= mint
+    }
 
+
+@pytest.mark.parametrize("span", [ALL, (0, 1000), (2045, 5115), (5046, 5069), (8140, 8140)])
 @pytest.mark.parametrize(
-    "matchers,span,expected",
+    "matchers",
     [
-        ([eq("__name__", UP)], ALL, {0, 1}),
-        ([eq("__name__", REQ), eq("job", "api")], ALL, {2}),
-        ([eq("__name__", UP), neq("job", "web")], ALL, {0}),
-        ([eq("__name__", REQ), eq("job", "")], ALL, {4}),
-        ([eq("__name__", REQ), neq("job", "")], ALL, {2, 3}),
-        ([eq("__name__", UP), re_("job", "api|web")], ALL, {0, 1}),
-        ([re_("job", "ap")], ALL, set()),
-        ([re_("job", "")], ALL, {4}),
-        ([eq("__name__", UP), nre("job", "web")], ALL, {0}),
-        ([eq("__name__", REQ), nre("job", "web")], ALL, {2, 4}),
-        ([eq("__name__", UP), eq("job", "api")], (50, 90), set()),
+        [eq("__name__", "load")], [eq("__name__", "temp"), neq("zone", "north")], [eq("zone", "")], [neq("zone", ""), eq("host", "h7")], [re_("zone", "north")],
+        [re_("zone", "north.*"), nre("__name__", "t.*|fan")], [re_("zone", "|north")], [nre("host", ".+")], [eq("absent", ""), re_("__name__", "fan_.*")], [eq("host", "h")],
     ],
-)
-def test_five_series(five, matchers, span, expected):
-    found = {r["s"] for r in select.select_chunks(five, matchers, *span).select(labels_str(F.col("labels")).alias("s")).collect()}
-    assert found == {",".join(f"{k}={v}" for k, v in sorted(FIVE[i][0].items())) for i in expected}
-
-
-@pytest.mark.parametrize("span,n", [((25, 150), 2), ((40, 150), 1), ((30, 30), 1), ((31, 99), 0)])
-def test_chunks_overlap_inclusively(five, span, n):
-    assert select.select_chunks(five, [eq("__name__", UP), eq("job", "api")], *span).count() == n
+)
+def test_select_against_plain_rules(stored, matchers, span):
+    found = select.select_chunks(stored, matchers, *span).select(labels_str(F.col("labels")).alias("s"), "chunk_ord").collect()
+    assert {tuple(r) for r in found} == by_hand(matchers, *span) and len(found) == len({tuple(r) for r in found})
 
 
 def test_matchers_are_checked():
-    for bad in (lambda: all_of([], F.lit(1)), lambda: re_("job", "([unterminated"), lambda: Matcher("~", "a", "b"), lambda: Querier().chunks([], 0, 1)):
+    for bad in (lambda: all_of([], F.lit(1)), lambda: re_("zone", "north(east"), lambda: Matcher("~", "a", "b"), lambda: Querier().chunks([], 0, 1)):
         with pytest.raises(TsdbError):
             bad()
     assert re_("a", "x|y").matches("y") and not re_("a", "x|y").matches("xy") and nre("a", "x").matches("") and not eq("a", "").regex_matches("")
 
 
+def test_patterns_are_those_of_the_plan(spark):
+    """What a plan can't run is refused, what it can run is not, and the driver matches as it does."""
+    with pytest.raises(TsdbError):
+        re_("a", "(?P<x>a)")
+    rows = spark.createDataFrame([({"a": v},) for v in ("é", "e", "7", "")], "labels map<string,string>")
+    for m in (re_("a", r"\p{L}"), nre("a", r"\p{L}"), re_("a", r"\p{Lower}+|")):
+        got = {r.labels["a"] for r in rows.where(m.column(F.col("labels"))).collect()}
+        assert got == {v for v in ("é", "e", "7", "") if m.matches(v)}
+
+
+def test_null_labels_are_absent(spark):
+    rows = spark.createDataFrame([({"a": "1", "b": None}, 1), ({"a": "1"}, 1), ({"b": None}, 3)], "labels map<string,string>, arrival long")
+    assert rows.select(labels_hash(F.col("labels"))).distinct().count() == 2
+    assert sorted(r.name for r in index.label_names(rows).collect()) == ["a"] and index.for_name(rows, "b").count() == 0
+    assert index.label_values(rows, "b").count() == 0 and index.all_series(rows).count() == 2
+    assert {r.symbol for r in index.symbols(rows).collect()} == {"a", "1", ""}
+
+
+def test_references_of_series_that_arrive_together(spark):
+    rows = [({"k": f"v{i}"}, i // 10) for i in range(40)]
+    refs = [{(r.labels["k"], r.ref) for r in head.series_refs(spark.createDataFrame(part, "labels map<string,string>, arrival long")).collect()} for part in (rows, rows[::-1])]
+    assert refs[0] == refs[1] == {(f"v{i}", i + 1) for i in range(40)}
+
+
 def test_pattern_does_not_match_before_a_line_feed(spark):
     row = spark.createDataFrame([({"job": "ap\n"},)], "labels map<string,string>")
     assert row.where(re_("job", "ap").column(F.col("labels"))).count() == 0
@@ -75,19 +99,21 @@ def test_labels(spark):
     assert two.select(labels_str(with_label(F.col("labels"), "a", "9"))).first()[0] == "a=9,b=2"
 
 
-def test_query_pair_is_not_a_matcher(five):
-    assert select.query_pair(five, "job", "").count() == 0
-    assert select.query_pair(five, "job", "web").count() == 2
+def test_query_pair_is_not_a_matcher(stored):
+    """An empty value must be there, an absent label is none."""
+    for zone in ("", "north"):
+        assert select.query_pair(stored, "zone", zone).count() == sum(len(cs) for labels, cs in SERIES if labels.get("zone") == zone)
 
 
-def test_index_views(five):
-    of = index.series(five)
-    assert {r.name for r in index.label_names(of).collect()} == {"__name__", "job"}
-    assert {r.value for r in index.label_values(of, "job").collect()} == {"api", "web"}
-    assert {r.symbol for r in index.symbols(of).collect()} == {"", "__name__", "job", "api", "web", UP, REQ}
-    assert index.all_series(of).count() == 5 and index.for_name(of, "job").count() == 4
-    a, b = index.lookup(of, "job", "api"), index.lookup(of, "__name__", UP)
-    assert (index.intersect(a, b).count(), index.subtract(a, b).count(), index.union(a, b).count()) == (1, 1, 3)
+def test_index_views(stored):
+    of = index.series(stored)
+    assert {r.name for r in index.label_names(of).collect()} == {k for labels in NAMED for k in labels}
+    assert {r.value for r in index.label_values(of, "zone").collect()} == {labels["zone"] for labels in NAMED if "zone" in labels}
+    assert {r.symbol for r in index.symbols(of).collect()} == {""} | {x for labels in NAMED for pair in labels.items() for x in pair}
+    assert index.all_series(of).count() == len(NAMED) and index.for_name(of, "host").count() == len(NAMED) // 2
+    a, b = index.lookup(of, "zone", "north"), index.lookup(of, "__name__", "load")
+    x, y = ({i for i, labels in enumerate(NAMED) if labels.get(k) == v} for k, v in (("zone", "north"), ("__name__", "load")))
+    assert (index.intersect(a, b).count(), index.subtract(a, b).count(), index.union(a, b).count()) == (len(x & y), len(x - y), len(x | y))
 
 
 def sample_rows(spark, rows):
@@ -122,9 +148,10 @@ def test_replay(spark):
 
 
 def test_compaction(spark):
-    rows = [({"k": "v"}, t, v, i, b) for b, part in enumerate(([(100, 1.0), (200, 2.0), (300, 3.0)], [(200, 20.0), (300, 30.0), (400, 40.0)], [(100, 5.0)])) for i, (t, v) in enumerate(part)]
+    parts = [{7 * i + b: 10.0 * b + i for i in range(30)} for b in (0, 7, 21)]  # the last two go over times of the first
+    rows = [({"k": "v"}, t, v, i, b) for b, part in enumerate(parts) for i, (t, v) in enumerate(part.items())]
     frame = spark.createDataFrame(rows, "labels map<string,string>, t long, v double, arrival long, block_ord int")
-    assert [(r.t, r.v) for r in blocks.compacted(frame).orderBy("t").collect()] == [(100, 5.0), (200, 20.0), (300, 30.0), (400, 40.0)]
+    assert {r.t: r.v for r in blocks.compacted(frame).collect()} == parts[0] | parts[1] | parts[2]
     metas = spark.createDataFrame([(2, ["A", "B"]), (1, ["C"]), (1, ["B"])], "level int, sources array<string>")
     assert tuple(blocks.compacted_meta(metas).first()) == (3, ["A", "B", "C"])
     with pytest.raises(TsdbError):
@@ -139,7 +166,9 @@ def test_querier(spark):
     assert [[c.min_time for c in r.chunks] for r in q.select([eq("k", "v")], *ALL).collect()] == [[0, 200, 400]]
     assert q.samples([eq("k", "v")], 150, 250).count() == 1
     assert q.samples([eq("k", "v")], 301, 399).count() == 0
-    assert Querier().select([eq("k", "v")], *ALL) is None and Querier([None], [None]).chunks([eq("k", "v")], 0, 1) is None
+    for nothing in (Querier(), Querier([None], [None])):
+        assert nothing.select([eq("k", "v")], *ALL).columns == ["labels", "chunks"] and nothing.select([eq("k", "v")], *ALL).count() == 0
+        assert nothing.samples([eq("k", "v")], 0, 1).count() == 0 and nothing.chunks([eq("k", "v")], 0, 1).columns == q.chunks([eq("k", "v")], 0, 1).columns
     twice = Querier([b1], [series(0)])
     assert twice.samples([eq("k", "v")], *ALL).count() == 4
 

@@ -54,7 +54,9 @@ def test_series_records():
 
 
 def test_sample_records():
-    rows = [(100, 1000000, 0, 1), (100, 1001000, 0, 2), (101, 1002000, 500, 3), (101, 1003000, 500, 4), (102, 1004000, 700, 5), (102, 1005000, 0, 6)]
+    # every change between no start time, the same one and another one, with refs and times that go up and down
+    starts = [0, 0, 40, 40, 9, 0, 9, 9, 0, 40]
+    rows = [(7 + (3 * i) % 5, 90_000 - 777 * i * (-1) ** i, st, (1 << 52) + i) for i, st in enumerate(starts)]
     assert list(wal.decode_samples(wal.encode_samples(rows))) == rows
     assert list(wal.decode_samples(wal.encode_samples([]))) == []
     raw = bytearray(wal.encode_samples([(1, 1, 0, 0), (1, 2, 0, 0)]))
@@ -179,12 +181,13 @@ def test_block_source_and_compaction(spark, tmp_path):
 
     block.register(spark)
     encode = lambda rows: [({"k": "v"}, [(rows[0][0], rows[-1][0], xor.encode([(t, xor.bits_of(v)) for t, v in rows]))])]
-    parts = [f"{tmp_path}/{block.write_block(str(tmp_path), encode(r))}" for r in ([(100, 1.0), (200, 2.0), (300, 3.0)], [(200, 20.0), (300, 30.0), (400, 40.0)])]
+    inputs = [{15 * i: float(i) for i in range(9)}, {15 * i + 60: -float(i) for i in range(9)}]  # five times are in both
+    parts = [f"{tmp_path}/{block.write_block(str(tmp_path), encode(list(r.items())))}" for r in inputs]
     merged = f"{tmp_path}/{block.compact(spark, str(tmp_path), parts)}"
     rows = chunks.decode_chunks(select.xor_only(spark.read.format("tsdb_block").load(merged)), "labels").orderBy("t").collect()
-    assert [(r.t, r.v) for r in rows] == [(100, 1.0), (200, 20.0), (300, 30.0), (400, 40.0)]
+    assert {r.t: r.v for r in rows} == inputs[0] | inputs[1] and len(rows) == 13
     meta = block.read_meta(merged)
-    assert meta.level == 2 and meta.sources == sorted(block.read_meta(p).ulid for p in parts) and meta.stats["num_samples"] == 4
+    assert meta.level == 2 and meta.sources == sorted(block.read_meta(p).ulid for p in parts) and meta.stats["num_samples"] == 13
     assert spark.read.format("tsdb_block").option("mint", 500).load(merged).count() == 0
     with pytest.raises(TsdbError):
         block.compact(spark, str(tmp_path), [])

@@ -1,7 +1,8 @@
 """Labels and matchers.
 
 A series is identified by its labels, MAP<STRING,STRING>: unique names, the last of several values wins, the empty map is
-legal. Its canonical key is the sorted array of entries. A label that is absent equals the empty string for matchers.
+legal. Its canonical key is the sorted array of entries; a label whose value is null is absent. A label that is absent equals
+the empty string for matchers.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,8 +48,8 @@ def with_label(labels: Column, name: str, value: Column | str) -> Column:
 
 
 def series_key(labels: Column) -> Column:
-    """Entries sorted by name: equal for equal label sets, and fit for grouping, joining and hashing."""
-    return F.array_sort(F.map_entries(labels))
+    """Entries sorted by name, without nulls: equal for equal label sets, and fit for grouping, joining and hashing."""
+    return F.array_sort(F.filter(F.map_entries(labels), lambda e: e["value"].isNotNull()))
 
 
 def labels_str(labels: Column) -> Column:
@@ -63,6 +66,23 @@ def label(labels: Column, name: str) -> Column:
     return F.coalesce(labels[name], F.lit(""))
 
 
+def _compiled(pattern: str):
+    """A test of whole values by the pattern. Plans run Java's expressions, so its compiler judges and matches here too;
+    only without a JVM, before there is a session, Python's stands in."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        try:
+            found = re.compile(pattern)
+        except re.error as e:
+            raise TsdbError("invalid_argument", f"bad pattern {pattern!r}: {e}") from e
+        return lambda value: found.fullmatch(value) is not None
+    try:
+        java = context._jvm.java.util.regex.Pattern.compile(rf"\A(?:{pattern})\z")
+    except IllegalArgumentException as e:
+        raise TsdbError("invalid_argument", f"bad pattern {pattern!r}: {e}") from e
+    return lambda value: java.matcher(value).find()
+
+
 @dataclass(frozen=True)
 class Matcher:
     """One label predicate: kind is one of = != =~ !~. Patterns match the whole value and are checked when made."""
@@ -75,10 +95,7 @@ class Matcher:
         if self.kind not in ("=", "!=", "=~", "!~"):
             raise TsdbError("invalid_argument", f"unknown matcher {self.kind}")
         if self.kind in ("=~", "!~"):
-            try:
-                re.compile(self.value)
-            except re.error as e:
-                raise TsdbError("invalid_argument", f"bad pattern {self.value!r}: {e}") from e
+            _compiled(self.value)
 
     @staticmethod
     def equal(name: str, value: str) -> Matcher:
@@ -112,7 +129,7 @@ class Matcher:
 
     def regex_matches(self, value: str) -> bool:
         """Whether the pattern matches, whatever the polarity; False for matchers without one."""
-        return self.kind in ("=~", "!~") and re.fullmatch(self.value, value) is not None
+        return self.kind in ("=~", "!~") and _compiled(self.value)(value)
 
     def matches(self, value: str) -> bool:
         """The predicate on one value, for pruning on the driver."""

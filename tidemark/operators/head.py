@@ -30,17 +30,18 @@ def rejected(samples: DataFrame, *arrival: str) -> DataFrame:
 def series_refs(samples: DataFrame, first_ref: int = 1, known: DataFrame | None = None) -> DataFrame:
     """(labels, ref): refs count up in the order in which series are first seen; those of ``known`` stay.
 
-    Samples are grouped first (with partial minima), so the ordering runs over the series alone.
+    Series first seen at one arrival are ordered by their labels. Samples are grouped first (with partial minima), so the
+    ordering runs over the series alone.
     """
     seen = samples.groupBy(series_key(F.col("labels")).alias("series_key")).agg(F.min("arrival").alias("first"))
     if known is not None:
         held = known.select(series_key(F.col("labels")).alias("series_key"), "ref")
         first_ref_of = held.agg(F.coalesce(F.max("ref") + 1, F.lit(first_ref)).alias("next"))
         fresh = seen.join(held.select("series_key"), "series_key", "left_anti").crossJoin(first_ref_of)  # one row
-        new = fresh.select("series_key", (F.row_number().over(Window.orderBy("first")) - 1 + F.col("next")).alias("ref"))
+        new = fresh.select("series_key", (F.row_number().over(Window.orderBy("first", "series_key")) - 1 + F.col("next")).alias("ref"))
         out = held.unionByName(new)
     else:
-        out = seen.select("series_key", (F.row_number().over(Window.orderBy("first")) - 1 + first_ref).alias("ref"))
+        out = seen.select("series_key", (F.row_number().over(Window.orderBy("first", "series_key")) - 1 + first_ref).alias("ref"))
     return out.select(F.map_from_entries("series_key").alias("labels"), F.col("ref").cast("long").alias("ref"))
 
 

@@ -30,12 +30,12 @@ def lookup(of: DataFrame, name: str, value: str) -> DataFrame:
 
 def for_name(of: DataFrame, name: str) -> DataFrame:
     """Series that hold the name with any value."""
-    return of.where(F.map_contains_key("labels", name))
+    return of.where(F.col("labels")[name].isNotNull())
 
 
 def all_series(of: DataFrame) -> DataFrame:
     """Series with a label at all: those without are in no posting list."""
-    return of.where(F.size("labels") > 0)
+    return of.where(F.size(series_key(F.col("labels"))) > 0)
 
 
 def for_matcher(of: DataFrame, matcher: Matcher) -> DataFrame:
@@ -55,14 +55,15 @@ def union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def label_names(of: DataFrame) -> DataFrame:
-    return of.select(F.explode(F.map_keys("labels")).alias("name")).distinct()
+    return of.select(F.explode(series_key(F.col("labels"))["key"]).alias("name")).distinct()
 
 
 def label_values(of: DataFrame, name: str) -> DataFrame:
-    return of.where(F.map_contains_key("labels", name)).select(F.col("labels")[name].alias("value")).distinct()
+    return of.where(F.col("labels")[name].isNotNull()).select(F.col("labels")[name].alias("value")).distinct()
 
 
 def symbols(of: DataFrame) -> DataFrame:
     """All strings that an index of these series names, and the empty one."""
-    parts = F.concat(F.map_keys("labels"), F.map_values("labels"))
+    entries = series_key(F.col("labels"))
+    parts = F.concat(entries["key"], entries["value"])
     return of.select(F.explode(parts).alias("symbol")).union(of.sparkSession.range(1).select(F.lit(""))).distinct()
