@@ -132,6 +132,8 @@ def test_refs(spark):
     rows = sample_rows(spark, [({"k": v}, 0, 0.0, i) for i, v in enumerate("bacab")])
     refs = head.series_refs(rows)
     assert {r.labels["k"]: r.ref for r in refs.collect()} == {"b": 1, "a": 2, "c": 3}
+    assert [r.labels for r in head.lookup(refs, 2).collect()] == [{"k": "a"}] and head.lookup(refs, 0).count() == head.lookup(refs, 4).count() == 0
+    assert [head.next_ref(x).first()[0] for x in (refs, refs.limit(0))] == [4, 1]
     later = head.series_refs(sample_rows(spark, [({"k": "d"}, 0, 0.0, 9), ({"k": "a"}, 0, 0.0, 8)]), known=refs)
     assert {r.labels["k"]: r.ref for r in later.collect()} == {"b": 1, "a": 2, "c": 3, "d": 4}
     entries = spark.createDataFrame([(1, {"a": "1"}), (1, {"a": "1"}), (2, {"a": "2"}), (2, {"a": "3"}), (4, {"a": "2"}), (0, {"z": "z"})], "ref long, labels map<string,string>")

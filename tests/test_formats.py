@@ -194,3 +194,59 @@ def test_block_source_and_compaction(spark, tmp_path):
     other = spark.createDataFrame([("histogram", b"x")], "encoding string, data binary")
     with pytest.raises(Exception, match="not_supported"):
         select.xor_only(other).select(F.length("data")).collect()
+
+
+def labelled_block(parent, per_series=3):
+    """Series by zone and kind, some without a zone, some with an empty one; chunks of two samples, 20 ms apart."""
+    named = [{k: v for k, v in (("__name__", "level"), ("zone", zone), ("kind", kind)) if v is not None} for zone in (None, "", "east", "eastern", "west") for kind in ("a", "b")]
+    series = []
+    for i, labels in enumerate(named):
+        spans = [[(100 * i + 20 * j, xor.bits_of(float(j))), (100 * i + 20 * j + 9, xor.bits_of(-1.0))] for j in range(per_series)]
+        series.append((labels, [(c[0][0], c[-1][0], xor.encode(c)) for c in spans]))
+    return f"{parent}/{block.write_block(str(parent), series)}", series
+
+
+def test_block_select_against_plain_rules(spark, tmp_path):
+    from tidemark.model import Matcher
+
+    folder, series = labelled_block(tmp_path)
+    eq, neq, re_, nre = Matcher.equal, Matcher.not_equal, Matcher.regex, Matcher.not_regex
+    for matchers in (
+        [eq("zone", "east")], [eq("zone", "")], [neq("zone", "")], [neq("zone", "west"), eq("kind", "b")], [re_("zone", "east.*"), nre("kind", "a")],
+        [re_("zone", "|west")], [nre("zone", ".+")], [eq("zone", "nowhere")], [neq("gone", "")], [eq("gone", ""), nre("gone", "x")], [re_("kind", r"\p{Lower}")],
+    ):
+        for lo, hi in ((-(1 << 60), 1 << 60), (110, 225), (829, 829), (950, 2000)):
+            got = {(tuple(sorted(r.labels.items())), r.min_time, bytes(r.data)) for r in block.select_block(spark, folder, matchers, lo, hi).collect()}
+            assert got == {
+                (tuple(sorted(labels.items())), c[0], c[2])
+                for labels, cs in series if all(m.matches(labels.get(m.name, "")) for m in matchers) for c in cs if c[0] <= hi and c[1] >= lo
+            }
+    with pytest.raises(TsdbError):
+        block.select_block(spark, folder, [], 0, 1)
+
+
+def test_only_ranges_of_chosen_series_are_read(tmp_path, monkeypatch):
+    folder, series = labelled_block(tmp_path, per_series=40)
+    monkeypatch.setattr(block, "RANGE_GAP", 200)
+    reader = block._BlockReader({"path": folder, "pairs": '[["zone", ["east"], true]]', "chunks_per_partition": "30"})
+    parts = reader.partitions()
+    assert len(parts) == 3
+    read, real = [], files.read_range
+    monkeypatch.setattr(block.files, "read_range", lambda path, at, n: read.append(n) or real(path, at, n))
+    monkeypatch.setattr(block.files, "read_bytes", lambda path: pytest.fail("a whole segment was read"))
+    rows = [r for p in parts for r in reader.read(p)]
+    assert sorted(r[8] for r in rows) == sorted(c[2] for labels, cs in series if labels.get("zone") == "east" for c in cs)
+    assert sum(read) < 0.5 * len(real(f"{folder}/chunks/000001", 0, 1 << 30))
+
+
+def test_head_chunks_are_flushed_as_they_are(spark, tmp_path):
+    from tidemark.operators import chunks
+
+    block.register(spark)
+    rows = spark.createDataFrame([({"k": str(i % 4)}, 10 * i, i / 3, i) for i in range(4000)], "labels map<string,string>, t long, v double, arrival long")
+    encoded = chunks.encode_chunks(rows, "arrival")
+    ulid = block.export_block(encoded, str(tmp_path))
+    back = spark.read.format("tsdb_block").load(f"{tmp_path}/{ulid}")
+    show = lambda df: sorted((r.labels["k"], r.chunk_ord, r.min_time, r.max_time, bytes(r.data)) for r in df.collect())
+    assert show(back) == show(encoded) and len(show(back)) > 4
+    assert block.read_meta(f"{tmp_path}/{ulid}").stats["num_samples"] == 4000

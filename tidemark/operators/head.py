@@ -45,6 +45,16 @@ def series_refs(samples: DataFrame, first_ref: int = 1, known: DataFrame | None
     return out.select(F.map_from_entries("series_key").alias("labels"), F.col("ref").cast("long").alias("ref"))
 
 
+def lookup(refs: DataFrame, ref: int) -> DataFrame:
+    """The series (labels, ref) of one reference; no row for 0, which is nobody's, and for those not given out."""
+    return refs.where(F.col("ref") == ref)
+
+
+def next_ref(refs: DataFrame) -> DataFrame:
+    """(next_ref): what the next new series will get; 1 where there is none yet."""
+    return refs.agg((F.coalesce(F.max("ref"), F.lit(0)) + 1).alias("next_ref"))
+
+
 def ref_conflicts(entries: DataFrame) -> DataFrame:
     """Of (ref, labels) rows, those that no store could hold: ref 0, one ref for two label sets, two refs for one."""
     keyed = entries.withColumn("series_key", series_key(F.col("labels"))).select("ref", "series_key").distinct()

@@ -12,6 +12,7 @@ from tidemark.operators.querier import Querier
 from tidemark.sources import tables
 
 MINT, MAXT = 1704844800000, 1705708800000  # 2024-01-10 and 2024-01-20, UTC
+FIRST, LAST = 852076800000, 899251200000  # 1997-01-01 and 1998-07-01, UTC
 WEEK = 604_800_000
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -379,6 +380,37 @@ def block_roundtrip(spark, sf_dir):
     return _shown(chunks.decode_chunks(select.xor_only(spark.read.format("tsdb_block").load(f"{parent}/{ulid}")), "labels"))
 
 
+@query(f"SELECT labels_str, t, v FROM o WHERE priority <> '5-LOW' AND status <> 'P' AND regexp_full_match(priority, '[1-3].*') AND t BETWEEN {FIRST} AND {LAST}")
+def block_select(spark, sf_dir):
+    """Matchers and a range on a binary block: postings choose the series, then only their overlapping chunks are read."""
+    from tidemark.sources import block
+
+    parent = _scratch(spark, "select")
+    block.register(spark)
+    ulid = block.export_block(chunks.encode_chunks(tables.orders(spark, sf_dir), "arrival"), parent)
+    wanted = [Matcher.not_equal("priority", "5-LOW"), Matcher.not_regex("status", "P|X"), Matcher.regex("priority", "[1-3].*"), Matcher.equal("absent", "")]
+    found = chunks.decode_chunks(select.xor_only(block.select_block(spark, f"{parent}/{ulid}", wanted, FIRST, LAST)), "labels")
+    return _shown(found.where(F.col("t").between(FIRST, LAST)))
+
+
+@query(_JUDGED + "SELECT labels_str, t, v FROM j WHERE ok")
+def head_flush(spark, sf_dir):
+    """A head's chunks written as a block, their bytes as they are, and read back."""
+    from tidemark.sources import block
+
+    block.register(spark)
+    parent = _scratch(spark, "flush")
+    ulid = block.export_block(chunks.encode_chunks(head.accepted(tables.orders(spark, sf_dir)), "arrival"), parent)
+    return _shown(chunks.decode_chunks(spark.read.format("tsdb_block").load(f"{parent}/{ulid}"), "labels"))
+
+
+@query("SELECT labels_str, ref FROM (SELECT labels_str, row_number() OVER (ORDER BY min(arrival)) AS ref FROM o GROUP BY labels_str) WHERE ref = 3")
+def ref_lookup(spark, sf_dir):
+    """The series of one reference."""
+    refs = head.series_refs(tables.orders(spark, sf_dir))
+    return head.lookup(refs, 3).select(labels_str(F.col("labels")).alias("labels_str"), "ref")
+
+
 @query("SELECT labels_str, t, v FROM (SELECT *, row_number() OVER (PARTITION BY labels_str, t ORDER BY arrival % 2 DESC, arrival DESC) AS k FROM o) WHERE k = 1")
 def compact_binary(spark, sf_dir):
     """Two overlapping binary blocks compacted to a third: the later block's sample stays."""

@@ -4,16 +4,17 @@
     spark.read.format("tsdb_block").load(folder)
         -> block_ulid, series_ref, labels, chunk_ord, min_time, max_time, chunk_ref, encoding, data
 
-The index is read once, on the driver, to plan the scan: each partition holds chunk references of one segment, so chunks
-are read in parallel, by range and in order. Options ``mint`` and ``maxt`` leave out chunks, and blocks, before any chunk
-is read. Index versions 1 to 3 are read, version 2 is written.
+The index is read once to plan the scan: each partition holds chunk references of one segment, so chunks are read in
+parallel, by byte range and in order. Options ``mint`` and ``maxt`` leave out chunks, and blocks, and ``pairs`` (as
+``select_block`` makes them of matchers) leaves out series by their postings, before any chunk is read. Index versions 1
+to 3 are read, version 2 is written.
 """
 
 from __future__ import annotations
 
 import json
 from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tidemark.errors import TsdbError
 from tidemark.functions.codecs import chunk_ref, crc32c, new_ulid, read_uvarint, read_varint, split_chunk_ref, uvarint, varint
 from tidemark.functions.xor import num_samples
+from tidemark.model import Matcher
 from tidemark.sources import files
 
 #: Fixed values of the format.
@@ -177,6 +179,17 @@ class Index:
     def all_postings(self) -> list[int]:
         return sorted({i for at in self.postings_table.values() for i in self.read_postings(at)})
 
+    def select(self, pairs: Iterable[tuple[str, list[str], bool]]) -> list[int]:
+        """The series that all conditions (name, values, held) let through: those that hold one of the values, or none."""
+        found: set[int] | None = None
+        for name, values, held in pairs:
+            listed = {i for v in values for i in self.postings(name, v)}
+            if found is None:
+                found = listed if held else set(self.all_postings()) - listed
+            else:
+                found = found & listed if held else found - listed
+        return self.all_postings() if found is None else sorted(found)
+
     def label_values(self, name: str) -> list[str]:
         return sorted({v for n, v in self.postings_table if n == name})
 
@@ -305,17 +318,24 @@ def iterate_segment(data: bytes, name: str = "") -> Iterator[tuple[int, str, int
         at = end
 
 
+def _extent(path: str, offset: int) -> int:
+    """How many bytes the chunk at an offset takes, with its length, encoding and checksum."""
+    start = files.read_range(path, offset, 16) if offset >= 8 else b""
+    if not start:
+        raise _broken(f"chunk at {offset}")
+    size, body = read_uvarint(start)
+    return body + 1 + size + 4
+
+
 def read_chunk(folder: str, ref: int) -> tuple[str, bytes]:
     """One chunk of a block's chunks folder."""
     seq, offset = split_chunk_ref(ref)
     names = files.numbered(folder, 6)
     if seq >= len(names):
         raise TsdbError("result_out_of_range", f"segment {seq}")
-    data = files.read_bytes(f"{folder}/{names[seq]}")
-    _check_segment(data, names[seq])
-    if not 8 <= offset < len(data):
-        raise _broken(f"chunk at {offset}")
-    return _chunk_at(data, offset)[:2]
+    path = f"{folder}/{names[seq]}"
+    _check_segment(files.read_range(path, 0, 8), names[seq])
+    return _chunk_at(files.read_range(path, offset, _extent(path, offset)), 0)[:2]
 
 
 SeriesChunks = tuple[dict[str, str], list[tuple[int, int, bytes]]]
@@ -392,22 +412,41 @@ class Block:
         return out
 
 
+#: Chunks of one partition are read in ranges of about so many bytes, over gaps of at most so many.
+RANGE_BYTES, RANGE_GAP = 8 << 20, 64 << 10
+
+
 class _Chunks(InputPartition):
+    """Chunks of one segment in order of their offsets."""
+
     def __init__(self, ulid: str, path: str, rows: list[tuple]) -> None:
         self.ulid, self.path, self.rows = ulid, path, rows
 
 
+def _ranges(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """Rows (offset, ...) that are read together: near each other, and not too many bytes."""
+    held: list[tuple] = []
+    for row in rows:
+        if held and (row[0] - held[-1][0] > RANGE_GAP or row[0] - held[0][0] > RANGE_BYTES):
+            yield held
+            held = []
+        held.append(row)
+    if held:
+        yield held
+
+
 class _BlockReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.folder, self.mint, self.maxt = options["path"], int(options.get("mint", -(1 << 63))), int(options.get("maxt", (1 << 63) - 1))
         self.per_partition = int(options.get("chunks_per_partition", 20_000))
+        self.pairs = json.loads(options.get("pairs", "[]"))
 
     def partitions(self) -> list[InputPartition]:
         block = Block(self.folder)
         if not (block.meta.min_time <= self.maxt and block.meta.max_time >= self.mint) and block.meta.stats.get("num_chunks"):
             return []
         by_segment = defaultdict(list)
-        for ref in block.index.all_postings():
+        for ref in block.index.select(self.pairs):
             labels, metas = block.index.series(ref)
             for i, m in enumerate(metas):
                 if m.min_time <= self.maxt and m.max_time >= self.mint:
@@ -425,15 +464,17 @@ class _BlockReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition is None:
             return
-        data = files.read_bytes(partition.path)
-        _check_segment(data[:8], partition.path)
-        for offset, ref, labels, i, lo, hi, packed in partition.rows:
-            encoding, body, _ = _chunk_at(data, offset)
-            yield partition.ulid, ref, labels, i, lo, hi, packed, encoding, body
+        _check_segment(files.read_range(partition.path, 0, 8), partition.path)
+        for rows in _ranges(partition.rows):
+            base = rows[0][0]
+            data = files.read_range(partition.path, base, rows[-1][0] - base + _extent(partition.path, rows[-1][0]))
+            for offset, ref, labels, i, lo, hi, packed in rows:
+                encoding, body, _ = _chunk_at(data, offset - base)
+                yield partition.ulid, ref, labels, i, lo, hi, packed, encoding, body
 
 
 class BlockSource(DataSource):
-    """Option ``path``: the block's folder; ``mint`` and ``maxt`` leave out chunks that do not overlap."""
+    """Option ``path``: the block's folder; ``mint`` and ``maxt`` leave out chunks that do not overlap, ``pairs`` series."""
 
     @classmethod
     def name(cls) -> str:
@@ -453,6 +494,23 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WalSource)
 
 
+def select_block(spark: SparkSession, folder: str, matchers: Sequence[Matcher], mint: int, maxt: int) -> DataFrame:
+    """Whole chunks that overlap [mint, maxt], of the series that all matchers accept: only these are read.
+
+    Each matcher becomes the values of its name in the index that it accepts or, where it accepts an absent label too, that
+    it does not; a pattern is tried once on each value.
+    """
+    if not matchers:
+        raise TsdbError("invalid_argument", "at least one matcher is needed")
+    index, pairs = Block(folder).index, []
+    for m in matchers:
+        held = not m.matches("")
+        values = [m.value] if m.kind in ("=", "!=") and m.value else index.label_values(m.name)
+        pairs.append((m.name, [v for v in values if m.matches(v) == held], held))
+    register(spark)
+    return spark.read.format("tsdb_block").option("pairs", json.dumps(pairs)).option("mint", mint).option("maxt", maxt).load(folder)
+
+
 def compact(spark: SparkSession, parent: str, folders: list[str]) -> str:
     """Compact blocks, in the order given: of samples with one time the last block's stays. Inputs are left as they are."""
     from functools import reduce
