@@ -71,6 +71,16 @@ def test_token_counts_of_odd_characters(make_docs, common):
     assert sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == [(i, len(t.encode()), len(model.encode(t))) for i, t in enumerate(odd)]
 
 
+def test_rare_pre_tokens_are_written_once(make_docs, monkeypatch):
+    """The only tables on the way are the distinct pre-tokens and the documents' counts."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    made, cut = [], tokencount.cut
+    monkeypatch.setattr(tokencount, "cut", lambda df, kind: made.append(kind) or cut(df, kind))
+    docs = make_docs([(i, f"one text and w{i} w{i} of it", "s") for i in range(20)])
+    got = tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), max_rows=4)
+    assert got.count() == 20 and made == ["pieces", "token-counts"]
+
+
 # op5
 
 

@@ -6,8 +6,8 @@ frequency x pieces, and no document is ever encoded.
 
   pieces   the corpus's distinct pre-tokens with their frequency (partial counts before the shuffle); each is encoded once
   common   the most frequent pre-tokens, as many as ``MAX_ROWS`` rows and ``MAX_BYTES`` bytes allow, are broadcast
-  rest     what is left of a document are rows (document, pre-token, frequency) that are shuffled to their pieces; their
-           pre-tokens are the rare ones, so no key is hot
+  rest     what is left of a document are its rare pre-tokens, so no key is hot: they are shuffled once, by pre-token, where
+           they become rows (document, pre-token, frequency) and meet their pieces; only (document, tokens) goes back
 
 Rows of one id and one text are one document until the end, where each row comes out again.
 
@@ -99,19 +99,23 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, max_rows:
 
 
 def _joined(rows: DataFrame, model_path: str, max_rows: int, max_bytes: int) -> DataFrame:
-    key = ["doc_id", "h", "n_bytes"]
+    key = ["doc_id", "h"]
     with scope(rows.sparkSession) as keep:
+        # the text's hash tells apart the texts of one id: where no id is repeated, no row has to carry it
+        repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+        rows = rows if repeated else rows.withColumn("h", F.lit(0).cast("long"))
         frequency = rows.select(F.explode(units(F.col("text"))).alias("unit")).groupBy("unit").agg(F.count("*").alias("times"))
         pieces = cut(frequency.mapInArrow(_encoder(model_path), "unit string, times long, pieces long"), "pieces")
         from_ = _common_from(pieces, max_rows, max_bytes)
         own = rows.sparkSession.range(1).select(F.lit("").alias("unit"), F.lit(0).cast("long").alias("pieces"))  # a row's own: no pre-token is empty
         common = own.union(pieces.where(F.col("times") >= from_).select("unit", "pieces"))
-        each = rows.select(*key, F.explode(F.concat(F.array(F.lit("")), units(F.col("text")))).alias("unit"))
-        per = each.join(F.broadcast(common), "unit", "left").groupBy(*key, F.when(F.col("pieces").isNull(), F.col("unit")).alias("rare"))
-        per = cut(per.agg(F.sum("pieces").alias("n"), F.count("*").alias("times"), F.count(F.when(F.col("unit") == "", 1)).alias("copies")), "frequencies")
-        rare = pieces.where(F.col("times") < from_).select(F.col("unit").alias("rare"), "pieces")
-        rare = per.where("rare is not null").join(rare, "rare").select(*key, (F.col("times") * F.col("pieces")).alias("n"), F.lit(0).cast("long").alias("copies"))
-        total = per.where("rare is null").select(*key, "n", "copies").union(rare).groupBy(*key).agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+        each = rows.select(*key, "n_bytes", F.explode(F.concat(F.array(F.lit("")), units(F.col("text")))).alias("unit"))
+        of_common = each.join(F.broadcast(common), "unit").groupBy(*key).agg(F.sum("pieces").alias("n"), F.count(F.when(F.col("unit") == "", 1)).alias("copies"), F.max("n_bytes").alias("n_bytes"))
+        # dealt by pre-token once, for the frequencies and for their join
+        rare = rows.select(*key, F.explode(units(F.col("text"))).alias("unit")).join(F.broadcast(common.select("unit")), "unit", "left_anti").repartition("unit")
+        rare = rare.groupBy("unit", *key).agg(F.count("*").alias("times")).join(pieces.where(F.col("times") < from_).select("unit", "pieces"), "unit")
+        rare = rare.select(*key, (F.col("times") * F.col("pieces")).alias("n"))
+        total = of_common.unionByName(rare, allowMissingColumns=True).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n", "copies")], F.max("n_bytes").alias("n_bytes"))
         total = keep(cut(total, "token-counts"))
     # equal rows have been counted together
     return total.select("doc_id", "n_bytes", (F.col("n") / F.col("copies")).cast("long").alias("n_tokens"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
