@@ -400,6 +400,23 @@ def test_passages_around_a_very_frequent_line(make_docs):
     assert all(r.first_word <= 35 and r.last_word >= 76 for r in got)
 
 
+def test_passages_with_an_edit_beside_a_very_frequent_line(make_docs):
+    """Every run of 41 shingles that two texts share is broken, and their minima lie in the line that all hold."""
+    rng = random.Random(12)
+    line, rows = made_up(rng, 40), []
+    for i in range(0, 40, 2):
+        own = made_up(rng, 20)
+        rows += [(k, " ".join(made_up(rng, 30) + line + own[:3] + made_up(rng, 1) + own[4:] + made_up(rng, 30)), "s") for k in (i, i + 1)]
+    got = passages.repeated_passages(make_docs(rows)).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_partners) for r in got) == [(i, i // 2 * 2, 1) for i in range(40)]
+
+
+def test_patterns_of_frequent_shingles():
+    at = np.array([3, *range(100, 141), *range(146, 151), 400])
+    assert passages._dense(at) == [(1, 47)]  # 46 of 51 places
+    assert passages._dense(np.arange(45)) == [] and passages._dense(np.arange(46)) == [(0, 46)]
+
+
 def test_passages_that_one_text_holds_twice(make_docs):
     rng = random.Random(9)
     shared, line = made_up(rng, 60), made_up(rng, 20)
