@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from llm_fixtures import prose, shingles, words
@@ -417,6 +418,38 @@ def test_patterns_of_frequent_shingles():
     assert passages._dense(np.arange(45)) == [] and passages._dense(np.arange(46)) == [(0, 46)]
 
 
+def test_pairs_beside_frequent_lines_against_plain_ones(monkeypatch):
+    """Pairs of places by rare shingles; only texts with places enough for a passage are looked at one by one."""
+    looked, dense = [], passages._dense
+    monkeypatch.setattr(passages, "_dense", lambda at: looked.append(len(at)) or dense(at))
+    rng = random.Random(17)
+    line = [rng.randrange(1 << 62) for _ in range(40)]
+    rows, want = [], set()
+    for i in range(1, 400, 2):  # most pairs share two shingles; some go on alike after a line that all these hold
+        alike, own = i < 60, [rng.randrange(1 << 62) for _ in range(12)]
+        for k in (i, i + 1):
+            text = [rng.randrange(1 << 62) for _ in range(rng.randrange(5))]
+            if alike:
+                want.add((k, len(text) + len(line)))
+            rows += [(s, k, at, 0) for at, s in enumerate(text + (line + own if alike else own[:2]))]
+    rows += [(5, 900, 1, 3), (5, 901, 1, 3), (6, 900, 2, 3), (6, 902, 2, 4)]  # one class joins the first two
+    rng.shuffle(rows)
+    one = pa.table([pa.array([0]), pa.array([np.array(rows + rows[:9], dtype=passages.PLACE).tobytes()])], names=["bucket", "data"])
+    dealt = passages._shared(3)(one)
+    pairs = np.frombuffer(b"".join(dealt.column("data").to_pylist()), dtype=passages.PAIR)
+    assert {(r["x"], r["y"]) for r in pairs if r["x"] != r["y"]} == {(i + 1, i) for i in range(1, 400, 2)} | {(902, 900)}
+    got = [r for k in range(3) for r in passages._alike(dealt.filter(pc.equal(dealt.column("bucket"), k))).to_pylist()]
+    assert sorted((r["x"], r["y"], r["ex"], r["ey"]) for r in got) == [(i + 1, i, 11, 11) for i in range(1, 60, 2)]
+    assert {(r["x"], r["px"]) for r in got} | {(r["y"], r["py"]) for r in got} == want
+    assert looked == [52] * 30
+
+
+def test_word_counts(awkward):
+    column = pa.array([t for _, t, _ in awkward[1]] + ["", " a\tb ", "c", None, "\x1c d\u00a0e"], type=pa.string())
+    for part in (column, column[3:], column[:0]):
+        assert tokens.word_counts(part).tolist() == np.diff(tokens.word_hashes(part)[1]).tolist()
+
+
 def test_passages_that_one_text_holds_twice(make_docs):
     rng = random.Random(9)
     shared, line = made_up(rng, 60), made_up(rng, 20)
