@@ -507,6 +507,19 @@ def test_near_duplicate_passages_are_found(make_docs):
     assert set(got) <= {i + k for i in truth for k in (0, 1)}
 
 
+def test_longest_runs_against_plain_ones():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 7, 30, 60):
+        for share in passages.SHARES:
+            shared = rng.random(n) < share
+            wide = max(b - a for a in range(n + 1) for b in range(a, n + 1) if shared[a:b].sum() >= share * (b - a) - 1e-9)
+            a = next(a for a in range(n + 1) if shared[a : a + wide].sum() >= share * wide - 1e-9)
+            inside = np.flatnonzero(shared[a : a + wide])
+            want = (a + inside[0], a + inside[-1]) if len(inside) else None
+            assert passages._longest(shared, share) == passages._longest(shared, share, wide) == want
+            assert passages._longest(shared, share, wide + 1) is None
+
+
 def test_passage_verification():
     rng = np.random.default_rng(1)
     p, q = rng.integers(0, 1 << 30, 300, dtype=np.uint32), rng.integers(0, 1 << 30, 400, dtype=np.uint32)
