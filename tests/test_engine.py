@@ -205,3 +205,18 @@ def test_streaming_head_resumes(spark, tmp_path):
     run()
     assert sorted(r.arrival for r in spark.read.parquet(f"{tmp_path}/ok").collect()) == [1, 3, 5]
     assert sorted(r.arrival for r in spark.read.parquet(f"{tmp_path}/late").collect()) == [2, 4, 6]
+
+
+def test_decoded_samples_leave_in_small_batches():
+    import pyarrow as pa
+
+    from tidemark.functions import xor
+
+    data = [xor.encode([(15 * i, xor.bits_of(2.0)) for i in range(n)]) for n in (0, 5, 9000, 1, 20_000, 9000, 700, 0)] * 8
+    rows = pa.RecordBatch.from_arrays([pa.array([[("k", str(i))] for i in range(len(data))], pa.map_(pa.string(), pa.string())), pa.array(data)], names=["labels", "data"])
+    got = list(chunks._decode(iter([rows, rows.slice(0, 0)])))
+    assert max(b.num_rows for b in got) < 40_000 and max(b.nbytes for b in got) < 4_000_000
+    back = pa.Table.from_batches(got).to_pydict()
+    want = [(i, place, t, xor.float_of(v), v) for i, d in enumerate(data) for place, (t, v) in enumerate(xor.decode(d))]
+    assert [(int(m[0][1]), *x) for m, *x in zip(*back.values())] == want and list(back) == ["labels", "sample_ord", "t", "v", "v_bits"]
+    assert [b.num_columns for b in chunks._decode(iter([rows.select(["data"])]))] == [4] * len(got)

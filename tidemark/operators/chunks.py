@@ -55,17 +55,33 @@ def encode_chunks(samples: DataFrame, *order: str) -> DataFrame:
     return dealt.select("series_key", "t", "v").mapInArrow(_encode, CHUNKS).withColumn("labels", F.map_from_entries("series_key"))
 
 
+#: Samples that leave the decoder in one batch, but for those of its last chunk.
+DECODED = 16_384
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunk rows to samples; the rows' own columns are repeated by index, not in Python."""
+    """Chunk rows to samples, some chunks at a time; the rows' own columns, without the data, are repeated by index."""
+
+    def samples(kept: pa.RecordBatch, rows: list[int], lengths: list[int], held: list[tuple[int, int]]) -> pa.RecordBatch:
+        taken = kept.take(pa.array(np.repeat(rows, lengths))).columns if kept.num_columns else []
+        place = np.concatenate([np.arange(k) for k in lengths]).astype(np.int32)
+        t = np.fromiter((t for t, _ in held), dtype=np.int64, count=len(held))
+        bits = np.fromiter((b for _, b in held), dtype=np.uint64, count=len(held))
+        columns = [*taken, pa.array(place), pa.array(t), pa.array(bits.view(np.float64)), pa.array(bits.view(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=[*kept.schema.names, "sample_ord", "t", "v", "v_bits"])
+
     for batch in batches:
-        rows = [list(xor.decode(d)) for d in batch.column(batch.num_columns - 1).to_pylist()]
-        lengths = [len(r) for r in rows]
-        taken = batch.take(pa.array(np.repeat(np.arange(len(rows)), lengths)))
-        t = np.array([t for r in rows for t, _ in r], dtype=np.int64)
-        bits = np.array([b for r in rows for _, b in r], dtype=np.uint64)
-        place = np.concatenate([np.arange(k) for k in lengths]).astype(np.int32) if rows else np.zeros(0, dtype=np.int32)
-        columns = [*taken.columns[:-1], pa.array(place), pa.array(t), pa.array(bits.view(np.float64)), pa.array(bits.view(np.int64))]
-        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "sample_ord", "t", "v", "v_bits"])
+        kept, rows, lengths, held = batch.select(range(batch.num_columns - 1)), [], [], []
+        for row, data in enumerate(batch.column(batch.num_columns - 1)):
+            before = len(held)
+            held.extend(xor.decode(data.as_py()))
+            rows.append(row)
+            lengths.append(len(held) - before)
+            if len(held) >= DECODED:
+                yield samples(kept, rows, lengths, held)
+                rows, lengths, held = [], [], []
+        if held:
+            yield samples(kept, rows, lengths, held)
 
 
 def decode_chunks(chunks: DataFrame, *keep: str) -> DataFrame:
