@@ -250,3 +250,24 @@ def test_head_chunks_are_flushed_as_they_are(spark, tmp_path):
     show = lambda df: sorted((r.labels["k"], r.chunk_ord, r.min_time, r.max_time, bytes(r.data)) for r in df.collect())
     assert show(back) == show(encoded) and len(show(back)) > 4
     assert block.read_meta(f"{tmp_path}/{ulid}").stats["num_samples"] == 4000
+
+
+def test_chunks_are_streamed_to_their_segment(tmp_path):
+    """Of a long series of many chunks, no more than a few are held by the writer."""
+    import tracemalloc
+
+    body = xor.encode([(0, xor.bits_of(1.0))])
+    body += bytes(40_000 - len(body))
+
+    def held(n: int) -> int:
+        tracemalloc.start()
+        ulid = block.write_block(str(tmp_path), [({"k": "v"}, ((i, i, body[:-2] + i.to_bytes(2, "big")) for i in range(n)))])
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        index = block.Block(f"{tmp_path}/{ulid}").index
+        [(_, metas)] = [index.series(r) for r in index.all_postings()]
+        assert [m.min_time for m in metas] == list(range(n))
+        assert all(block.read_chunk(f"{tmp_path}/{ulid}/chunks", metas[i].ref) == ("XOR", body[:-2] + i.to_bytes(2, "big")) for i in (0, n - 1))
+        return most
+
+    assert held(100) < 1_500_000  # 4 MB of chunks

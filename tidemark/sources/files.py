@@ -28,12 +28,26 @@ def read_range(uri: str, at: int, n: int) -> bytes:
         return f.read_at(n, at)
 
 
+class Output:
+    """A file written piece by piece; it appears under its name when it is closed, whole."""
+
+    def __init__(self, uri: str) -> None:
+        self.system, self.path = opened(uri)
+        self.stream = self.system.open_output_stream(self.path + ".tmp", compression=None, buffer_size=1 << 20)
+
+    def write(self, data: bytes) -> None:
+        self.stream.write(data)
+
+    def close(self) -> None:
+        self.stream.close()
+        self.system.move(self.path + ".tmp", self.path)
+
+
 def write_bytes(uri: str, data: bytes) -> None:
     """The file appears under its name when it is whole."""
-    system, path = opened(uri)
-    with system.open_output_stream(path + ".tmp", compression=None) as f:
-        f.write(data)
-    system.move(path + ".tmp", path)
+    out = Output(uri)
+    out.write(data)
+    out.close()
 
 
 def make_dir(uri: str) -> None:
