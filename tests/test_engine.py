@@ -220,3 +220,37 @@ def test_decoded_samples_leave_in_small_batches():
     want = [(i, place, t, xor.float_of(v), v) for i, d in enumerate(data) for place, (t, v) in enumerate(xor.decode(d))]
     assert [(int(m[0][1]), *x) for m, *x in zip(*back.values())] == want and list(back) == ["labels", "sample_ord", "t", "v", "v_bits"]
     assert [b.num_columns for b in chunks._decode(iter([rows.select(["data"])]))] == [4] * len(got)
+
+
+def test_streaming_head_judges_in_parts(spark, monkeypatch):
+    import random
+
+    import pandas as pd
+
+    from tidemark.plans import catalog
+    from tidemark.streaming import head as live
+
+    class State:
+        def __init__(self, get=None):
+            self.exists, self.get = get is not None, get
+
+        def update(self, new):
+            self.get, self.exists = new, True
+
+    rng = random.Random(5)
+    rows = [(t + rng.randint(0, 900), float(t), t) for t in range(25_000)]
+    mixed = rng.sample(rows, len(rows))
+    highest, want = -1, []
+    for t, v, a in rows:
+        want.append((t, v, a, t >= highest))
+        highest = max(highest, t)
+    for cut in (0, 9000):  # rows that an earlier micro-batch had
+        state, got, parts = State(), [], []
+        for taken in ([r for r in mixed if r[2] < cut], [r for r in mixed if r[2] >= cut]):
+            frames = [pd.DataFrame(taken[i : i + 7000], columns=["t", "v", "arrival"]).assign(labels_str="k=x") for i in range(0, len(taken), 7000)]
+            parts += list(live.judge(("k=x",), iter(frames), state)) if frames else []
+        assert max(map(len, parts)) <= 10_000
+        assert [tuple(r) for r in pd.concat(parts)[["t", "v", "arrival", "accepted"]].itertuples(index=False)] == want
+        assert state.get == (highest, sum(w[3] for w in want), [w[1] for w in want if w[3]][-1])
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda *a: pytest.fail("all rows go to one task"))
+    assert catalog.streaming_head(spark, "/root/testdata/sf0.001").count() == 1500

@@ -443,7 +443,7 @@ def streaming_head(spark, sf_dir):
     path, out = _scratch(spark, "stream"), _scratch(spark, "out")
     path, out = (p if "://" in p else f"file://{p}" for p in (path, out))
     samples = tables.orders(spark, sf_dir)
-    samples.repartition(1).write.parquet(f"{path}/in")
+    samples.write.parquet(f"{path}/in")  # in parts: one micro-batch takes all of them, and each series by arrival
     stream = spark.readStream.schema(samples.schema).parquet(f"{path}/in")
     run = live.ingest(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     run.awaitTermination()

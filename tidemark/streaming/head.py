@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,19 +21,29 @@ OUT = "labels_str string, t long, v double, arrival long, accepted boolean"
 STATE = "last_t long, num_samples long, last_v double"
 
 
+#: Rows of a series that leave at once.
+OUT_ROWS = 10_000
+
+
 def judge(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A series' rows of the micro-batch, by arrival. Of these three numbers a row are held; labels and results are not."""
     last_t, count, last_v = state.get if state.exists else (None, 0, None)
-    rows = pd.concat(list(frames)).sort_values("arrival", kind="stable")
-    highest = rows["t"].cummax().shift(1)
-    if last_t is not None:
-        highest = highest.fillna(last_t).clip(lower=last_t)
-    ok = highest.isna() | (rows["t"] >= highest)
+    held = [[f[c].to_numpy() for c in ("t", "v", "arrival")] for f in frames]
+    t, v, arrival = (np.concatenate(c) for c in zip(*held))
+    del held
+    order = np.argsort(arrival, kind="stable")
+    t, v, arrival = t[order], v[order], arrival[order]
+    highest = np.fmax.accumulate(t if last_t is None else np.fmax(t, last_t))
+    before = np.concatenate((highest[:1] if last_t is None else [last_t], highest[:-1]))
+    ok = (t >= before) | np.isnan(before)
     if ok.any():
-        good = rows[ok]
-        last_t, count, last_v = int(good["t"].iloc[-1]), count + len(good), float(good["v"].iloc[-1])
+        last = np.flatnonzero(ok)[-1]
+        last_t, count, last_v = int(t[last]), count + int(ok.sum()), float(v[last])
     if last_t is not None:
         state.update((last_t, count, last_v))
-    yield pd.DataFrame({"labels_str": key[0], "t": rows["t"], "v": rows["v"], "arrival": rows["arrival"], "accepted": ok})
+    for at in range(0, len(t), OUT_ROWS):
+        own = slice(at, at + OUT_ROWS)
+        yield pd.DataFrame({"labels_str": key[0], "t": t[own], "v": v[own], "arrival": arrival[own], "accepted": ok[own]})
 
 
 def ingest(samples: DataFrame) -> DataFrame:
