@@ -271,3 +271,21 @@ def test_chunks_are_streamed_to_their_segment(tmp_path):
         return most
 
     assert held(100) < 1_500_000  # 4 MB of chunks
+
+
+def test_series_wait_in_a_file(tmp_path):
+    """Of many series the writer holds their symbols and posting lists, not labels and chunks."""
+    import tracemalloc
+
+    body, n = xor.encode([(0, xor.bits_of(1.0))]), 5000
+    tracemalloc.start()
+    series = (({f"{k}{i % 3}": f"{i % 3}" for k in "abcdefgh"} | {"id": str(i % 10)}, [(10 * j - 50, 10 * j - 45, body) for j in range(3)]) for i in range(n))
+    folder = f"{tmp_path}/{block.write_block(str(tmp_path), series)}"
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    b = block.Block(folder)
+    assert most < 5_500_000, most
+    assert (b.meta.min_time, b.meta.max_time, b.meta.stats) == (-50, -25, {"num_samples": 3 * n, "num_series": n, "num_chunks": 3 * n})
+    found = b.index.all_postings()
+    assert len(found) == n and b.index.postings("id", "7") == found[7::10]
+    assert [m.min_time for m in b.index.series(found[-1])[1]] == [-50, -40, -30] and b.index.series(found[4])[0]["a1"] == "1"
